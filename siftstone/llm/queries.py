@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from siftstone.llm.line_dedup import OP3_SQL, op3_line_dedup
 from siftstone.llm.simhash_dedup import op9_simhash
 
 
 def queries() -> dict:
     return {
+        "op3_line_dedup": op3_line_dedup,
         "op9_simhash": op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_line_dedup": OP3_SQL,
+    }
