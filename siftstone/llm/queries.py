@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from siftstone.llm.line_dedup import OP3_SQL, op3_line_dedup
+from siftstone.llm.quality_rules import op2_quality_rules, op2_sql
 from siftstone.llm.simhash_dedup import op9_simhash
 
 
 def queries() -> dict:
     return {
+        "op2_quality_rules": op2_quality_rules,
         "op3_line_dedup": op3_line_dedup,
         "op9_simhash": op9_simhash,
     }
@@ -15,5 +17,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_quality_rules": op2_sql(),
         "op3_line_dedup": OP3_SQL,
     }
