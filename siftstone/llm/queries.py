@@ -5,12 +5,14 @@ from __future__ import annotations
 from siftstone.llm.line_dedup import OP3_SQL, op3_line_dedup
 from siftstone.llm.quality_rules import op2_quality_rules, op2_sql
 from siftstone.llm.simhash_dedup import op9_simhash
+from siftstone.llm.source_mixing import OP6_SQL, op6_source_mixing
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_line_dedup": op3_line_dedup,
+        "op6_source_mixing": op6_source_mixing,
         "op9_simhash": op9_simhash,
     }
 
@@ -19,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_quality_rules": op2_sql(),
         "op3_line_dedup": OP3_SQL,
+        "op6_source_mixing": OP6_SQL,
     }
