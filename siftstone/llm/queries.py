@@ -7,10 +7,12 @@ from siftstone.llm.line_dedup import OP3_SQL, op3_line_dedup
 from siftstone.llm.quality_rules import op2_quality_rules, op2_sql
 from siftstone.llm.simhash_dedup import op9_simhash
 from siftstone.llm.source_mixing import OP6_SQL, op6_source_mixing
+from siftstone.llm.token_counts import op1_token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_quality_rules": op2_quality_rules,
         "op3_line_dedup": op3_line_dedup,
         "op5_decontaminate": op5_decontaminate,
