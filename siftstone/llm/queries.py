@@ -8,6 +8,7 @@ from siftstone.llm.line_dedup import OP3_SQL, op3_line_dedup
 from siftstone.llm.quality_rules import op2_quality_rules, op2_sql
 from siftstone.llm.simhash_dedup import op9_simhash
 from siftstone.llm.source_mixing import OP6_SQL, op6_source_mixing
+from siftstone.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from siftstone.llm.token_counts import op1_token_counts
 
 
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_line_dedup": op3_line_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_source_mixing": op6_source_mixing,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_simhash": op9_simhash,
         "op10_html_text": op10_html_text,
     }
@@ -28,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": op2_sql(),
         "op3_line_dedup": OP3_SQL,
         "op6_source_mixing": OP6_SQL,
+        "op8_substring_dedup": OP8_SQL,
     }
