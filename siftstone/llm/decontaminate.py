@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siftstone.llm.common import table
 
-CHARS_PER_ERROR = 20
+CHARS_PER_ERROR = 12
 BLOCK_CHARS = 1 << 20
 OUTPUTS = ("item_id", "distance", "found_end")
 

@@ -48,12 +48,12 @@ def test_matches_brute_force(spark):
                 b = b[-1000:]
             if not a:
                 continue
-            if len(a) < 20:
+            if len(a) < d.CHARS_PER_ERROR:
                 if i == 92 and k == 52:
                     want.append((i, k, 0))
                 continue
             n = distance(a, b)
-            if n <= len(a) // 20:
+            if n <= len(a) // d.CHARS_PER_ERROR:
                 want.append((i, k, n))
     for size in (d.BLOCK_CHARS, 100):
         got = d.contaminated(df, bench, block_chars=size).collect()
