@@ -244,12 +244,15 @@ def by_document(answers: DataFrame) -> DataFrame:
                 keys.append(ids[doc, 1])
                 places.append(at - start[doc])
             if docs:
-                yield grouped(np.concatenate(docs), np.concatenate(keys), np.concatenate(places))
+                doc, key, at = (np.concatenate(x) for x in (docs, keys, places))
+                order = np.lexsort((at, key, doc))
+                yield grouped(doc[order], key[order], at[order])
 
     return answers.mapInArrow(run, "__doc long, __key long, at array<int>")
 
 
-WINDOWS = "h long, g long, __doc long, __key long, at int, lost boolean"
+#: A window (at), or all windows of a document that its batch has before (many, packed).
+WINDOWS = "h long, g long, __doc long, __key long, at int, many binary"
 
 
 def windows(docs: DataFrame) -> DataFrame:
@@ -295,32 +298,42 @@ def windows(docs: DataFrame) -> DataFrame:
                 new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
                 first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
                 lost = (owner != owner[first]) | (place != place[first])
-                new |= lost
+                stays = new & ~lost
+                columns = [x[stays] for x in (h.view(np.int64), g.view(np.int64), owner, key, place.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[new]) for x in (h.view(np.int64), g.view(np.int64), owner, key, place.astype(np.int32), lost)],
-                    names=["h", "g", "__doc", "__key", "at", "lost"],
+                    [*map(pa.array, columns), pa.nulls(int(stays.sum()), pa.binary())], names=["h", "g", "__doc", "__key", "at", "many"]
                 )
+                if lost.any():
+                    owner, key, place = owner[lost], key[lost], place[lost]
+                    order = np.lexsort((place, key, owner))
+                    owner, key, place = owner[order], key[order], place[order].astype("<i4")
+                    cut = np.flatnonzero((owner[1:] != owner[:-1]) | (key[1:] != key[:-1])) + 1
+                    lo = np.concatenate([[0], cut])
+                    # They need no partner: a hash of their own spreads them.
+                    own = mixed(key[lo].view(np.uint64) + np.arange(len(lo), dtype=np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(own), pa.array(own ^ owner[lo]), pa.array(owner[lo]), pa.array(key[lo]), pa.array(np.zeros(len(lo), np.int32)),
+                            pa.array([x.tobytes() for x in np.split(place, cut)], pa.binary()),
+                        ],
+                        names=["h", "g", "__doc", "__key", "at", "many"],
+                    )
 
     return docs.mapInArrow(run, WINDOWS)
 
 
 def losers(found: DataFrame) -> DataFrame:
-    """(__doc, __key, at) of lost windows. found: sorted by h, g, __doc, at within partitions."""
+    """(__doc, __key, many) of lost windows. found: sorted by h, g, __doc, at within partitions."""
 
     def run(batches):
         import numpy as np
+        import pyarrow as pa
 
-        last, held, size = None, [], 0
-
-        def flush():
-            doc, key, at = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((at, key, doc))
-            return grouped(doc[order], key[order], at[order])
-
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h, g, doc, key, at, lost = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            h, g, doc, key, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
             if last is not None and (h[0], g[0]) == last[:2]:
@@ -329,23 +342,24 @@ def losers(found: DataFrame) -> DataFrame:
             own_doc, own_at = doc[first], at[first].astype(np.int64)
             if last is not None:
                 own_doc, own_at = np.where(first < 0, last[2], own_doc), np.where(first < 0, last[3], own_at)
-            gone = lost | (doc != own_doc) | (at != own_at)
+            gone = (doc != own_doc) | (at != own_at)
             last = (h[-1], g[-1], own_doc[-1], own_at[-1])
+            many = batch.column(5)
+            packed = batch.filter(many.is_valid()).select([2, 3, 5])
+            if packed.num_rows:
+                yield packed
             if gone.any():
-                held.append((doc[gone], key[gone], at[gone]))
-                size += int(gone.sum())
-            if size > 1 << 19:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
+                n, data = int(gone.sum()), at[gone].astype("<i4")
+                ends = pa.py_buffer(np.arange(0, 4 * n + 1, 4, dtype=np.int32))
+                each = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(key[gone]), each], names=["__doc", "__key", "many"])
 
-    return found.mapInArrow(run, "__doc long, __key long, at array<int>")
+    return found.mapInArrow(run, "__doc long, __key long, many binary")
 
 
 def without_windows(docs: DataFrame, lost: DataFrame, text: str) -> DataFrame:
     """docs (+ __doc, __key) with kept_text, n_words, n_removed."""
-    lost = lost.groupBy("__doc", "__key").agg(F.collect_list("at").alias("__lost"))
+    lost = lost.groupBy("__doc", "__key").agg(F.collect_list("many").alias("__lost"))
     joined = docs.join(lost, ["__doc", "__key"], "left").select(*docs.columns, "__lost")
 
     def run(batches):
@@ -358,10 +372,10 @@ def without_windows(docs: DataFrame, lost: DataFrame, text: str) -> DataFrame:
                 kept, total, removed = [], [], []
                 for i, data in enumerate(texts):
                     words = (data or b"").split()
-                    lists = gone[i].values
+                    packed = gone[i].as_py()
                     cut = 0
-                    if lists is not None and len(words):
-                        at = lists.flatten().to_numpy()
+                    if packed and words:
+                        at = np.frombuffer(b"".join(packed), "<i4")
                         mark = np.zeros(len(words) + 1, np.int64)
                         np.add.at(mark, at, 1)
                         np.add.at(mark, at + WINDOW, -1)
