@@ -55,10 +55,11 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(examples: DataFrame, size: int, epochs: int, **rates) -> bytes:
+def fit(examples: DataFrame, size: int, epochs: int, l1: float, again_l1: float | None = None, **rates) -> bytes:
     """Weights (float32) learned in one task from a bounded sample (__id, label, at, x as binary).
 
-    Examples come in the order of a hash of their id, so reruns agree.
+    Examples come in the order of a hash of their id, so reruns agree. With again_l1, a first
+    round under l1 only chooses the coordinates, and a second round under again_l1 learns their weights.
     """
     examples = examples.repartition(1).sortWithinPartitions(F.xxhash64("__id", F.lit("order")), "__id", "at")
 
@@ -70,11 +71,19 @@ def fit(examples: DataFrame, size: int, epochs: int, **rates) -> bytes:
         for batch in batches:
             for y, at, x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "at", "x"))):
                 rows.append((y, np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4").astype(float)))
-        model = Ftrl(size, **rates)
-        for _ in range(epochs):
-            for y, at, x in rows:
-                model.learn(at, x, y)
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], names=["w"])
+
+        def learned(rows, l1):
+            model = Ftrl(size, l1=l1, **rates)
+            for _ in range(epochs):
+                for y, at, x in rows:
+                    model.learn(at, x, y)
+            return model.weights()
+
+        w = learned(rows, l1)
+        if again_l1 is not None:
+            kept = w != 0
+            w = learned([(y, at[kept[at]], x[kept[at]]) for y, at, x in rows], again_l1)
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["w"])
 
     found = examples.mapInArrow(run, "w binary").first()  # no row at all where nothing is labelled
     return found[0] if found else bytes(4 * size)

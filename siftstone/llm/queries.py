@@ -11,6 +11,7 @@ from siftstone.llm.simhash_dedup import op9_simhash
 from siftstone.llm.source_mixing import OP6_SQL, op6_source_mixing
 from siftstone.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from siftstone.llm.token_counts import op1_token_counts
+from siftstone.llm.toxicity import op4_toxicity
 
 
 def queries() -> dict:
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_quality_rules": op2_quality_rules,
         "op3_line_dedup": op3_line_dedup,
+        "op4_toxicity": op4_toxicity,
         "op5_decontaminate": op5_decontaminate,
         "op6_source_mixing": op6_source_mixing,
         "op7_quality_classifier": op7_quality_classifier,
