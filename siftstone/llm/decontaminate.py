@@ -199,3 +199,21 @@ def contaminated(
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", chars_per_error: int = CHARS_PER_ERROR, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents without those that hold a passage of an item; one pass per block, no shuffle."""
+    at = docs.columns.index(text)
+    for block in blocks(benchmark, item_id, item_text, block_chars):
+        items = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, items=items):
+            import pyarrow as pa
+
+            matcher = Matcher(items.value, chars_per_error)
+            for batch in batches:
+                stays = [next(matcher.hits(folded(x.as_py())), None) is None for x in batch.column(at)]
+                yield batch.filter(pa.array(stays, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
