@@ -1,13 +1,66 @@
-"""The corpus pipeline: each stage works on all that the one before kept."""
+"""The corpus pipeline: rules, line dedup, near-duplicates, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return
+the columns of documents; the last returns the mix, one row per remaining document.
+
+Defined results: a document without text fails the rules; one that loses all its lines stays, empty;
+of a near-duplicate group the smallest doc_id stays, once; documents without a doc_id take part under a key of
+their text, which comes after all ids.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftstone.llm.common import materialize, table
+from siftstone.llm.decontaminate import clean
+from siftstone.llm.line_dedup import dedup_lines
+from siftstone.llm.quality_rules import judge
+from siftstone.llm.simhash_dedup import near_duplicates
+from siftstone.llm.source_mixing import mix
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return judge(docs).where("kept").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = dedup_lines(docs)
+    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    key = F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
+    keyed = docs.withColumn("__key", key)
+    first = near_duplicates(keyed.select("__key", "text"), "__key").where("__key = component_id").select("__key").distinct()
+    one = F.row_number().over(Window.partitionBy("__key").orderBy("text"))
+    return keyed.join(first, "__key", "left_semi").withColumn("__one", one).where("__one = 1").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mix(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mixing", mixing),
+]
+
+#: SQL has no XXH64, so the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
