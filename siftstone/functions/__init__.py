@@ -1 +1 @@
-
+"""Column functions; nothing here reads or shuffles."""
