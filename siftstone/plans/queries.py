@@ -457,7 +457,7 @@ def rank_metrics(spark, sf_dir):
     return evaluate.rank_metrics(hits, hits, 6, ["arm", "qid"])
 
 
-@query(f"WITH {RELEVANT} SELECT arm, k, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM (SELECT 6 AS k, * FROM ({METRICS.format(6)}) AS m UNION ALL SELECT 20, * FROM ({METRICS.format(20)}) AS n) AS b GROUP BY arm, k")
+@query(f"WITH {RELEVANT} SELECT arm, k, round(avg(recall), 9) AS recall, round(avg(mrr), 9) AS mrr, round(avg(ndcg), 9) AS ndcg FROM (SELECT 6 AS k, * FROM ({METRICS.format(6)}) AS m UNION ALL SELECT 20, * FROM ({METRICS.format(20)}) AS n) AS b GROUP BY arm, k")
 def ablation_by_arm(spark, sf_dir):
     hits = relevant(spark, sf_dir)
     return evaluate.retrieval_ablation(hits, hits.select("qid").distinct())
