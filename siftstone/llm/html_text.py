@@ -23,12 +23,15 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import appended, byte_slices, table, without
+from siftstone.llm.common import appended, byte_slices, materialize, table, without
 
 OUTPUTS = ("text", "n_chars")
 #: Share of the page's own best container that the winning path must hold to be used.
 HOLDS = 0.3
 LONG_PATH = 1000
+#: Winning paths are broadcast up to this many hosts (a path has at most LONG_PATH signs), else joined salted.
+BROADCAST_HOSTS = 50_000
+SALTS = 32
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -248,12 +251,23 @@ def votes(pages: DataFrame, url: str, html: str) -> DataFrame:
     return cast.mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+def with_paths(pages: DataFrame, won: DataFrame, broadcast_hosts: int) -> DataFrame:
+    """Adds __path. Pages are never dealt by host alone: one host may have a third of them."""
+    if won.count() <= broadcast_hosts:
+        joined = pages.join(F.broadcast(won), F.col("__host") == won["host"], "left")
+    else:
+        salted = won.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pages = pages.withColumn("__s", F.pmod(F.xxhash64(*pages.columns), F.lit(SALTS)).cast("int"))
+        joined = pages.join(salted, (F.col("__host") == salted["host"]) & (F.col("__s") == F.col("__salt")), "left").drop("__s", "__salt")
+    return joined.drop("host", "__host")
+
+
+def extract(pages: DataFrame, url: str = "url", html: str = "html", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """The pages with their main text and its code points."""
     pages = without(pages, *OUTPUTS, "__host", "__path")
-    won = winners(votes(pages, url, html))
+    won = materialize(winners(votes(pages, url, html)), "host-paths")
     at = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = pages.withColumn("__host", at).join(won, F.col("__host") == won["host"], "left").drop("host", "__host")
+    joined = with_paths(pages.withColumn("__host", at), won, broadcast_hosts)
 
     def run(batches):
         import pyarrow as pa

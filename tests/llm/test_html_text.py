@@ -43,6 +43,7 @@ def test_consensus_and_rows(spark):
     rows += [(10, "https://a.example.com/y", page(f"<div class='p9'>{ARTICLE}</div><div class=other><p>{'longer than that ' * 8}</p></div>"), 5)]
     rows += [(11, None, page(ARTICLE), 5), (12, "nonsense", None, 5), (13, "http://b.org", "", 5), (0, *rows[0][1:])]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, N_chars int")
-    got = sorted((x.page_id, x.text, x.n_chars) for x in h.extract(df).collect())
-    assert got == sorted([(i, WANT, len(WANT)) for i in [0, *range(6), 10, 11]] + [(12, "", 0), (13, "", 0)])
+    for hosts in (0, h.BROADCAST_HOSTS):
+        got = sorted((x.page_id, x.text, x.n_chars) for x in h.extract(df, broadcast_hosts=hosts).collect())
+        assert got == sorted([(i, WANT, len(WANT)) for i in [0, *range(6), 10, 11]] + [(12, "", 0), (13, "", 0)])
     assert h.extract(df.limit(0)).count() == 0
