@@ -197,7 +197,7 @@ def judge(docs: DataFrame, estimates: DataFrame | None = None, counted: DataFram
     keep = without(docs, *names).columns
     if counted is None:
         counted = with_counts(without(docs, *names).select(F.struct("*").alias("__row"), "text", "lang", "source"))
-        counted = counted.drop("text")
+        counted = materialize(counted.drop("text"), "quality-counts")  # texts are counted once; estimates read numbers only
     vectors = spark.sql(vector_sql("{c}"), c=counted)
     if estimates is None:
         estimates = robust_estimates(vectors.drop("__row"))
