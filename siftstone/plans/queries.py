@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftstone.functions import text as tx
 from siftstone.functions import versions
 from siftstone.operators import answers, bm25, chunking, evaluate, fusion, tree, vectors, verify
+from siftstone.plans import ask
 from siftstone.plans import inputs as i
 from siftstone.plans.retrieve import Retriever
 from siftstone.sources import catalog
@@ -253,6 +254,13 @@ def gate_decision(spark, sf_dir):
     return rows.select("qid", F.round("top_score", 9).alias("top_score"), F.round("first_score", 9).alias("first_score"), "n_hits", "refused")
 
 
+@query(f"""{FUNNEL}, best AS (SELECT qid, max(rerank_score) AS top_score FROM hits GROUP BY qid), lens_q AS (SELECT qid, length(question) AS n FROM plans)
+SELECT plans.qid, CASE WHEN top_score IS NULL OR (top_score < 0.9 AND len(clauses) = 0) THEN 'gate' ELSE 'answered' END AS stage FROM plans LEFT JOIN best USING (qid) JOIN lens_q USING (qid) WHERE n BETWEEN 3 AND 2000""")
+def ask_stages(spark, sf_dir):
+    chunks = i.spec_chunks(spark, sf_dir)
+    return ask.ask(Retriever(chunks, bm25.build_index(chunks, text="text")), i.lookup_questions(spark, sf_dir)).select("qid", "stage")
+
+
 # Trees and chunks
 
 CLAUSES = f"""rows AS ({i.STYLED_SQL}), nthd AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS nth FROM rows),
