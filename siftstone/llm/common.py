@@ -50,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not at:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = _own.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="siftstone-")
         _own[context.applicationId] = at
@@ -84,6 +84,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard_tables(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftstone/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
