@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    # A small file is one task; texts are worth spreading before they are taken apart.
+    return rows.repartition(cores) if name == "documents" and rows.rdd.getNumPartitions() < cores else rows
 
 
 def corpus(spark, sf_dir) -> DataFrame:
