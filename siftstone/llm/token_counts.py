@@ -4,8 +4,9 @@ A trie of the vocabulary gets failure links as in the linear-time longest-match
 the link of a node is where matching goes on after the longest pieces of its string are taken off the
 front, and with each link stands only how many pieces that pops. A word is then read once, character by
 character, adding up popped counts. The vocabulary is a published tokenizer file whose path is a
-parameter; pieces at a word's end carry its end mark, which is one more symbol of the trie. Lower case,
-normal form and the split into words follow that file.
+parameter; pieces at a word's end carry its end mark, and a word's last byte and that mark are one symbol,
+so the end of a word is matched by final pieces only. Lower case, normal form and the split into words
+follow that file.
 
 Defined results: null or empty text has 0 of everything; a word that the vocabulary can't spell counts
 as one unknown piece; repeated rows are counted each.
@@ -49,6 +50,11 @@ def pieces(path: str = VOCABULARY) -> list[tuple[int, ...]]:
     return out
 
 
+def marked(symbols: tuple[int, ...]) -> tuple[int, ...]:
+    """A piece or word with its last byte and END as one symbol, byte + 256."""
+    return (*symbols[:-2], symbols[-2] + 256) if len(symbols) > 1 and symbols[-1] == END else symbols
+
+
 class Automaton:
     """next: (node, symbol) to node in one dictionary; fail: node to node, -1 for none; popped: counts."""
 
@@ -84,10 +90,14 @@ class Automaton:
                 self.fail[node], self.popped[node] = to, count
 
     def count(self, word: bytes) -> int:
-        """Pieces of one word; 1 if it can't be spelled."""
+        """Pieces of one word whose END is a symbol of its own; 1 if it can't be spelled."""
+        return self.matched((*word, END))
+
+    def matched(self, symbols) -> int:
+        """Pieces of a sequence of symbols; 1 if it can't be spelled."""
         nxt, fail, popped = self.next, self.fail, self.popped
         node = total = 0
-        for c in (*word, END):
+        for c in symbols:
             while (to := nxt.get(node << 9 | c)) is None:
                 if fail[node] < 0:
                     return 1
@@ -115,7 +125,7 @@ class Counts(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         text = unicodedata.normalize("NFC", raw.decode()).lower()
-        self[raw] = n = sum(self.automaton.count(w.encode()) for w in self.split(text))
+        self[raw] = n = sum(self.automaton.matched(marked((*w.encode(), END))) for w in self.split(text))
         return n
 
 
@@ -127,7 +137,7 @@ def counts_for(vocabulary) -> Counts:
     key = hash(tuple(vocabulary))
     if key not in _ready:
         _ready.clear()
-        _ready[key] = Counts(Automaton(vocabulary))
+        _ready[key] = Counts(Automaton(map(marked, vocabulary)))
     return _ready[key]
 
 
