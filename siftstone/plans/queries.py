@@ -174,7 +174,7 @@ dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
 
 def dense(spark, sf_dir, k, filtered=False):
     v = i.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").cast("string").alias("spec"))
-    q = v.where("chunk_id < 40").select(F.col("chunk_id").alias("qid"), "embedding", F.array("spec").alias("specs"))
+    q = v.select(F.col("chunk_id").alias("qid"), "embedding", F.array("spec").alias("specs"))
     return vectors.search(v, q, k, dimensions=64, filtered=filtered)
 
 
@@ -205,8 +205,7 @@ FIRST40 = "(SELECT * FROM benchmark WHERE item_id < 40) AS first40"
 
 @query(f"WITH {bm25_sql(FIRST40)}, {DENSE.format('', 30)}, {FUSED} SELECT qid, rank, chunk_id, rrf_score FROM top20")
 def rrf_fused_top20(spark, sf_dir):
-    asked = i.questions(spark, sf_dir).where("qid < 40")
-    sparse = bm25.search(bm25.build_index(i.corpus(spark, sf_dir)), asked)
+    sparse = bm25.search(bm25.build_index(i.corpus(spark, sf_dir)), i.questions(spark, sf_dir))
     fused = fusion.rrf(dense(spark, sf_dir, fusion.DENSE_TOP_K), sparse)
     return fusion.fused_top(fused).select("qid", "rank", "chunk_id", "rrf_score")
 
