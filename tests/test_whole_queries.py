@@ -28,3 +28,17 @@ def test_every_vector_is_a_question(spark, sf):
         assert got == [(q[0], n, c) for q in vectors for n, c in enumerate(nearest(vectors, q, 10, same), 1)]
     assert {x.qid for x in queries.QUERIES["relevance"](spark, at).collect()} == set(range(120))
     assert {x.qid for x in queries.QUERIES["rrf_fused_top20"](spark, at).collect()} == set(range(120))
+
+
+def test_every_line_is_a_claim(spark, sf):
+    at, _, texts = sf
+    want, verdicts = [], []
+    for doc, text in texts.items():
+        pairs = [(len(x) % 9, (len(x) + 3 * n) % 8) for n, x in enumerate(text.split("\n"))] if doc % 5 else []
+        good = [[p for p in pair if 1 <= p <= 6] for pair in pairs]
+        want += [(doc, n, g) for n, g in enumerate(good)]
+        bad = sorted({p for pair in pairs for p in pair if not 1 <= p <= 6})
+        verdicts.append((doc, bad, doc % 7 == 0 or bool(pairs) and not any(good)))
+    assert max(n for _, n, _ in want) > 20
+    assert sorted((x.qid, x.idx, x.passages) for x in queries.QUERIES["claim_validation"](spark, at).collect()) == want
+    assert sorted((x.qid, sorted(x.invalid_citations), x.refused) for x in queries.QUERIES["refusal_decision"](spark, at).collect()) == verdicts
