@@ -3,8 +3,9 @@
 1. Language model: four-grams of characters of all texts (letters folded to a-z, other letters to one
    sign, all else to a border), counted per task and summed in Spark; the table has 28**4 cells at most.
 2. Channel: a written sign may stand for its letter, a look-alike digit or sign for one of several letters,
-   a sign between letters for nothing, a run of one letter for one or two of it; letters may be spelled
-   out with spaces. Viterbi search over this lattice under the language model restores a word.
+   a sign between letters for nothing, a run of one letter for one or two of it; in a run of pieces of one
+   or two signs a space is nothing or a border. Viterbi search over this lattice under the language model
+   restores a word, with every context of three letters kept.
    A plain word has one path only and needs no search; restored words are remembered.
 3. Score: each distinct restored word gives hashed features (itself, and its beginnings of three to eight
    letters); a logistic regression learned by follow-the-regularised-leader adds up their weights.
@@ -45,14 +46,19 @@ LOOKS = {
 LOOK_COST, DROP_COST, RUN_COST = 1.0, 1.5, 0.5
 #: Dropping a sign that looks like a letter.
 DROP_LOOK_COST = 6.0
-#: Kept paths, and the longest word that is searched; longer ones (keys, addresses) are read as they stand.
-BEAM, LONGEST = 24, 32
-#: Single signs in a row that may spell a word.
-MIN_SPELLED = 4
+#: Dropping a look-alike at a word's edge: one that is a punctuation mark, or another sign.
+END_COST, EDGE_COST = 0.5, 3.0
+#: A space between short pieces: nothing, or a border.
+SPACE = [("", 1.0), (" ", 0.0)]
+#: The longest piece in which a word may be spelled out, and the fewest signs of a run of pieces.
+SHORT, MIN_SPELLED = 2, 3
 BEGINNINGS = range(3, 9)
 CONSTANT = 0
 OUTPUTS = ("held_out", "score", "predicted")
-EDGE = " \t\n\r\x0b\x0c.,;:?\"'`()[]{}*#%&~^_-=/\\<>…“”‘’«»¿"
+EDGE = " \t\n\r\x0b\x0c.,;:?\"'`)[]{}*#%&~^_-=/\\>…“”‘’«»¿"
+#: Look-alikes that are no digits, and those of them that are punctuation marks.
+SIGNS, MARKS = "".join(c for c in LOOKS if not c.isdigit()), "!(<¡"
+RUNS = re.compile(r"(.)\1*", re.S).finditer
 THRICE = re.compile(r"(.)\1\1").search
 TWICE = re.compile(r"(.)\1+", re.S)
 
@@ -126,80 +132,133 @@ def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else OTHER
 
 
+class Symbols(dict):
+    """Letter to symbol; a space is a border."""
+
+    def __missing__(self, c: str) -> int:
+        return symbol(c)
+
+
+SYMBOL = Symbols({" ": 0} | {chr(97 + i): 1 + i for i in range(26)})
+
+
 def plain(word: str) -> bool:
     """A word with one path: letters only, none three times in a row."""
     return word.isalpha() and not THRICE(word)
 
 
-def decode(word: str, cost) -> str:
-    """The cheapest reading of a word. cost: table of four-grams."""
-    word = folded(word)
-    if plain(word) or len(word) > LONGEST or not any(c.isalpha() or c in LOOKS for c in word):
-        return word
-    runs = [(m.group(1), len(m.group(0))) for m in re.finditer(r"(.)\1*", word, re.S)]
-    paths = {(0, 0, 0): (0.0, "")}
-    for c, n in runs:
+def signs(word: str):
+    """The readings of each run of a folded word: (letters, cost)."""
+    ahead = len(word) - len(word.lstrip(SIGNS))
+    behind = len(word.rstrip(SIGNS))
+    for m in RUNS(word):
+        c, n = m.group(1), m.end() - m.start()
         if c.isalpha():
-            readings = [(c, 0.0)] if n == 1 else [(c, 0.0 if n > 2 else RUN_COST), (c * 2, 0.0 if n == 2 else RUN_COST)]
+            yield [(c, 0.0)] if n == 1 else [(c, 0.0 if n > 2 else RUN_COST), (c * 2, 0.0 if n == 2 else RUN_COST)]
+            continue
+        readings = [(x * k, LOOK_COST + (RUN_COST if n > 2 or k != n else 0.0)) for x in LOOKS.get(c, "") for k in {1, min(n, 2)}]
+        if m.end() <= ahead or m.start() >= behind:
+            readings.append(("", END_COST if c in MARKS else EDGE_COST))
         else:
-            readings = [(x * k, LOOK_COST + (RUN_COST if n > 2 or k != n else 0.0)) for x in LOOKS.get(c, "") for k in {1, min(n, 2)}]
             readings.append(("", DROP_LOOK_COST if c in LOOKS or c.isdigit() else DROP_COST))
+        yield readings
+
+
+def cheapest(lattice, cost) -> str:
+    """The cheapest path; every context of three letters is kept. A space is a border."""
+    paths, of = {(0, 0, 0): (0.0, None)}, SYMBOL
+    for readings in lattice:
         new: dict = {}
         for (a, b, d), (so_far, read) in paths.items():
             for letters, extra in readings:
                 total, x, y, z = so_far + extra, a, b, d
                 for letter in letters:
-                    s = symbol(letter)
+                    s = of[letter]
                     total += cost[x][y][z][s]
                     x, y, z = y, z, s
-                if (x, y, z) not in new or total < new[x, y, z][0]:
-                    new[x, y, z] = (total, read + letters)
-        paths = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda p: p[1])[:BEAM])
-    return min((total + cost[a][b][d][0], read) for (a, b, d), (total, read) in paths.items())[1]
-
-
-def spelled(words: list[str]):
-    """Words spelled out in single signs, joined."""
-    alone = [i for i, w in enumerate(words) if len(w) == 1]
-    run: list[str] = []
-    for k, i in enumerate(alone):
-        if k and alone[k - 1] != i - 1:
-            run = []
-        if words[i] in LOOKS or words[i].isascii() and words[i].isalnum():
-            run.append(words[i])
-        else:
-            run = []
-        if len(run) >= MIN_SPELLED and (k + 1 == len(alone) or alone[k + 1] != i + 1 or not ends_on(words[i + 1])):
-            yield "".join(run)
+                at = x, y, z
+                if at not in new or total < new[at][0]:
+                    new[at] = (total, (read, letters) if letters else read)
+        paths = new
+    _, read = min(((total + cost[a][b][d][0], read) for (a, b, d), (total, read) in paths.items()), key=lambda p: p[0])
+    out = []
+    while read:
+        read, letters = read
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def decode(word: str, cost) -> str:
+    """The cheapest reading of a word. cost: table of four-grams."""
+    word = folded(word)
+    if plain(word) or not any(c.isalpha() or c in LOOKS for c in word):
+        return word
+    return cheapest(signs(word), cost)
+
 
+def decode_run(run: str, cost) -> list[str]:
+    """The words of short pieces, where a space is nothing or a border."""
+    lattice = []
+    for piece in folded(run).split():
+        lattice += [SPACE, *signs(piece)] if lattice else signs(piece)
+    return cheapest(lattice, cost).split()
 
-def ends_on(sign: str) -> bool:
-    return sign in LOOKS or sign.isascii() and sign.isalnum()
+
+class Pieces(dict):
+    """Raw word to its signs without those of its edges if they are few enough to be a piece, else nothing."""
+
+    def __missing__(self, raw: str) -> str:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        core = raw.strip(EDGE)
+        self[raw] = out = core if len(core) <= SHORT and any(c.isalnum() or c in LOOKS for c in core) else ""
+        return out
+
+
+def spelled(words: list[str], distinct: set[str], pieces):
+    """Runs of short pieces that may spell words, joined by spaces."""
+    alone = {w for w in distinct if (len(w) <= SHORT or not w.isalpha()) and len(pieces[w]) == 1}
+    upto = 0
+    for i in [i for i, w in enumerate(words) if w in alone] if alone else ():
+        if i < upto:
+            continue
+        start = upto = i
+        while start and pieces[words[start - 1]]:
+            start -= 1
+        while upto < len(words) and pieces[words[upto]]:
+            upto += 1
+        run = [pieces[w] for w in words[start:upto]]
+        if len(run) > 1 and sum(map(len, run)) >= MIN_SPELLED:
+            yield " ".join(run)
 
 
 def restored(text: str, read) -> set[str]:
     """The distinct words of a text, restored, each run of a letter written once. read: raw to restored word."""
     words = text.split()
-    found = {read[w] for w in set(words)}
-    found.update(read[w] for w in spelled(words) if any(map(str.isalpha, w)))
+    distinct = set(words)
+    found = {read[w] for w in distinct}
+    for run in spelled(words, distinct, read.pieces):
+        if any(map(str.isalpha, run)):
+            found.update(read[run].split())
     found.discard("")
     return found
 
 
 class Reader(dict):
     def __init__(self, cost):
-        self.cost = cost
+        self.cost, self.pieces = cost, Pieces()
 
     def __missing__(self, raw: str) -> str:
         if len(self) >= REMEMBERED:
             self.clear()
-        core = raw.strip(EDGE)
-        bare = core.rstrip("!$|+")
-        if bare.isascii() and bare.isalpha() and not THRICE(bare):
-            core = bare
-        elif core:
-            core = decode(core, self.cost)
-        self[raw] = out = TWICE.sub(r"\1", core.lower())
+        if " " in raw:
+            out = " ".join(TWICE.sub(r"\1", w) for w in decode_run(raw, self.cost))
+        else:
+            core = raw.strip(EDGE)
+            if core and not (core.isascii() and core.isalpha() and not THRICE(core)):
+                core = decode(core, self.cost)
+            out = TWICE.sub(r"\1", core.lower())
+        self[raw] = out
         return out
 
 
