@@ -1,7 +1,7 @@
 """The driver's tables in the roles of this library: corpus, questions, vectors, styled rows, answers.
 
-documents are chunks (source is the document, doc_id the clause), benchmark items are questions, embeddings with a
-small vec_id are question vectors. Rules that these tables never trigger get rows derived from them by arithmetic.
+documents are chunks (source is the document, doc_id the clause), benchmark items are questions, every embedding is
+a question vector too. Rules that these tables never trigger get rows derived from them by arithmetic.
 """
 
 from __future__ import annotations
