@@ -1,7 +1,7 @@
 """The driver's tables in the roles of this library: corpus, questions, vectors, styled rows, answers.
 
-documents are chunks (source is the document, doc_id the clause), benchmark items are questions, every embedding is
-a question vector too. Rules that these tables never trigger get rows derived from them by arithmetic.
+documents are chunks (source is the document, doc_id the clause), benchmark items are questions, and every embedding
+whose id is divisible by 100 is a question vector, that of the benchmark item with a hundredth of its id. Rules that these tables never trigger get rows derived from them by arithmetic.
 """
 
 from __future__ import annotations
@@ -25,6 +25,12 @@ def questions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
 
 
+def question_vectors(spark, sf_dir) -> DataFrame:
+    """(qid, embedding, specs): the stated set of questions, every row with an id divisible by 100."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
+    return asked.select(F.expr("vec_id div 100").alias("qid"), "embedding", F.array(F.col("label").cast("string")).alias("specs"))
+
+
 def spec_chunks(spark, sf_dir) -> DataFrame:
     """chunk_id, spec 38.0nn from the source's number, clause_id from the id, part, order, text."""
     n = F.regexp_extract("source", "([0-9]+)$", 1)
@@ -114,7 +120,7 @@ def answers(spark, sf_dir) -> DataFrame:
 
 ANSWERS_SQL = r"""SELECT doc_id AS qid, doc_id % 7 <> 0 AS answerable, i - 1 AS idx, l[i] AS text,
  [CAST(length(l[i]) % 9 AS INTEGER), CAST((length(l[i]) + (i - 1) * 3) % 8 AS INTEGER)] AS passages
- FROM (SELECT doc_id, list_slice(string_split(text, chr(10)), 1, 4) AS l FROM documents) AS d, unnest(range(1, len(l) + 1)) AS u(i) WHERE doc_id % 5 <> 0"""
+ FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) AS d, unnest(range(1, len(l) + 1)) AS u(i) WHERE doc_id % 5 <> 0"""
 
 
 def judged(spark, sf_dir) -> DataFrame:

@@ -167,15 +167,14 @@ def bm25_query_multiplicity(spark, sf_dir):
 
 # Vectors
 
-DENSE = """pairs AS (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
- FROM embeddings AS q, embeddings AS v WHERE q.vec_id < 40{0}),
+DENSE = """pairs AS (SELECT q.vec_id // 100 AS qid, v.vec_id AS chunk_id, list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
+ FROM embeddings AS q, embeddings AS v WHERE q.vec_id % 100 = 0{0}),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM pairs) AS r WHERE rank <= {1})"""
 
 
 def dense(spark, sf_dir, k, filtered=False):
     v = i.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.col("label").cast("string").alias("spec"))
-    q = v.select(F.col("chunk_id").alias("qid"), "embedding", F.array("spec").alias("specs"))
-    return vectors.search(v, q, k, dimensions=64, filtered=filtered)
+    return vectors.search(v, i.question_vectors(spark, sf_dir), k, dimensions=64, filtered=filtered)
 
 
 @query(f"WITH {DENSE.format('', 10)} SELECT qid, rank, chunk_id, round(score, 6) AS score FROM dense")
@@ -200,10 +199,9 @@ def vector_norms(spark, sf_dir):
 FUSED = """fused AS (SELECT qid, chunk_id, coalesce(1.0::DOUBLE / (60 + max(d)), 0) + coalesce(1.0::DOUBLE / (60 + max(s)), 0) AS rrf_score, max(d) AS dense_rank, max(s) AS bm25_rank FROM (
  SELECT qid, chunk_id, rank AS d, NULL AS s FROM dense UNION ALL SELECT qid, chunk_id, NULL, rank FROM sparse) AS b GROUP BY qid, chunk_id),
 top20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, dense_rank ASC NULLS LAST, bm25_rank ASC NULLS LAST) AS rank FROM fused) AS r WHERE rank <= 20)"""
-FIRST40 = "(SELECT * FROM benchmark WHERE item_id < 40) AS first40"
 
 
-@query(f"WITH {bm25_sql(FIRST40)}, {DENSE.format('', 30)}, {FUSED} SELECT qid, rank, chunk_id, rrf_score FROM top20")
+@query(f"WITH {bm25_sql('benchmark')}, {DENSE.format('', 30)}, {FUSED} SELECT qid, rank, chunk_id, rrf_score FROM top20")
 def rrf_fused_top20(spark, sf_dir):
     sparse = bm25.search(bm25.build_index(i.corpus(spark, sf_dir)), i.questions(spark, sf_dir))
     fused = fusion.rrf(dense(spark, sf_dir, fusion.DENSE_TOP_K), sparse)
@@ -434,9 +432,9 @@ def applied_verdicts(spark, sf_dir):
 # Evaluation
 
 RELEVANT = f"""{DENSE.format('', 20)}, hits AS (SELECT 'dense' AS arm, d.qid, d.chunk_id, d.rank, CASE WHEN v.label = q.label AND d.chunk_id % 10 < 7 THEN 1 ELSE 0 END AS rel
- FROM dense AS d JOIN embeddings AS v ON v.vec_id = d.chunk_id JOIN embeddings AS q ON q.vec_id = d.qid UNION ALL
+ FROM dense AS d JOIN embeddings AS v ON v.vec_id = d.chunk_id JOIN embeddings AS q ON q.vec_id = d.qid * 100 UNION ALL
  SELECT 'reversed', d.qid, d.chunk_id, 21 - d.rank, CASE WHEN v.label = q.label AND d.chunk_id % 10 < 7 THEN 1 ELSE 0 END
- FROM dense AS d JOIN embeddings AS v ON v.vec_id = d.chunk_id JOIN embeddings AS q ON q.vec_id = d.qid)"""
+ FROM dense AS d JOIN embeddings AS v ON v.vec_id = d.chunk_id JOIN embeddings AS q ON q.vec_id = d.qid * 100)"""
 METRICS = """SELECT arm, qid, CASE WHEN max(rel) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recall, coalesce(1.0::DOUBLE / min(CASE WHEN rel = 1 THEN rank END), 0.0::DOUBLE) AS mrr,
  CASE WHEN sum(rel) > 0 THEN round(sum(rel / log2(rank + 1)) / list_sum(list_transform(range(1, CAST(sum(rel) AS BIGINT) + 1), lambda x: 1 / log2(x + 1))), 6) ELSE 0.0::DOUBLE END AS ndcg FROM hits WHERE rank <= {0} GROUP BY arm, qid"""
 
@@ -447,7 +445,8 @@ def relevant(spark, sf_dir):
     clause = F.when(F.col("chunk_id") % 10 < 7, F.concat(F.lit("5."), (F.col("chunk_id") % 10).cast("string"))).otherwise(F.lit("50.1"))
     rows = dense(spark, sf_dir, 20).withColumn("clause_id", clause)
     rows = rows.join(e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("spec")), "chunk_id")
-    rows = rows.join(e.select(F.col("vec_id").alias("qid"), F.array(F.struct(F.col("label").alias("spec"), F.lit("5").alias("clause"))).alias("gold")), "qid")
+    asked = e.where("vec_id % 100 = 0").select(F.expr("vec_id div 100").alias("qid"), F.array(F.struct(F.col("label").alias("spec"), F.lit("5").alias("clause"))).alias("gold"))
+    rows = rows.join(asked, "qid")
     rel = evaluate.is_relevant(F.col("spec"), F.col("clause_id"), F.array().cast("array<string>"), F.col("gold")).cast("int")
     rows = rows.select(F.lit("dense").alias("arm"), "qid", "chunk_id", "rank", rel.alias("rel"))
     return rows.unionByName(rows.withColumn("arm", F.lit("reversed")).withColumn("rank", 21 - F.col("rank")))
