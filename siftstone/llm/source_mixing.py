@@ -45,6 +45,8 @@ PREFIX = 1 << 12
 GOLDEN = 2654435769
 POINTS = 1 << 32
 CELLS = 256
+#: The table of sources (a name and five numbers each) is broadcast up to this many rows; beyond, skewed joins are split at run time.
+BROADCAST_SOURCES = 100_000
 OUTPUTS = ("size", "source_size", "target", "taken", "first_slot")
 
 
@@ -185,7 +187,7 @@ def mix(
 def mix_sized(sized: DataFrame, slot_words: int = SLOT_WORDS, min_slots: int = SLOTS, step: int = GOLDEN) -> DataFrame:
     """The mix of documents of known sizes: __row, __id, __source, size, __order."""
     goals = materialize(targets(sized), "mix-targets")
-    docs_in, words = goals.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("aim"), F.lit(0))).first()
+    docs_in, words, sources = goals.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("aim"), F.lit(0)), F.count("*")).first()
     block = max(1, -(-int(words) // max(min_slots, int(words) // slot_words)))
     slots = -(-int(words) // block)
     plan = materialize(schedule(goals, slots, block, step), "mix-plan")
@@ -194,6 +196,9 @@ def mix_sized(sized: DataFrame, slot_words: int = SLOT_WORDS, min_slots: int = S
         F.col("__source").alias("s0"), "source_size", "target", F.least(F.coalesce("got", F.lit(0)) * block, F.col("aim")).alias("goal")
     )
     lines = placed(sized, max(1, -(-int(docs_in) // BUCKET_DOCS)))
+    aims = materialize(aims, "mix-aims")
+    if sources <= BROADCAST_SOURCES:  # one source may have a third of the documents
+        aims = F.broadcast(aims)
     lines = lines.join(aims, F.col("__source").eqNullSafe(F.col("s0"))).drop("s0")
     # A document comes round once a lap of its line; a piece is its part in one block.
     laps = F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1)))
