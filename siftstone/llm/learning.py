@@ -11,6 +11,10 @@ def held_out(id_column: str) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
+#: Bytes of examples that the fit holds at most.
+SAMPLE_BYTES = 256 << 20
+
+
 def labelled_sample(labels: DataFrame, label: str, rows: int, id_column: str = "doc_id") -> DataFrame:
     """(__id, label): about ``rows`` labelled ids at most, chosen by hash; all if there are fewer.
 
@@ -24,7 +28,7 @@ def labelled_sample(labels: DataFrame, label: str, rows: int, id_column: str = "
     n = known.count()
     if n <= rows:
         return known
-    return known.where(F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << 20)) < int((1 << 20) * rows / n))
+    return known.where(F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << 62)) < (1 << 62) * rows // n)
 
 
 class Ftrl:
@@ -55,10 +59,11 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(examples: DataFrame, size: int, epochs: int, l1: float, again_l1: float | None = None, **rates) -> bytes:
+def fit(examples: DataFrame, size: int, epochs: int, l1: float, again_l1: float | None = None, sample_bytes: int = SAMPLE_BYTES, **rates) -> bytes:
     """Weights (float32) learned in one task from a bounded sample (__id, label, at, x as binary).
 
-    Examples come in the order of a hash of their id, so reruns agree. With again_l1, a first
+    Examples come in the order of a hash of their id, so reruns agree, and the sample ends where the next example
+    would bring it above ``sample_bytes`` (one example is always taken). With again_l1, a first
     round under l1 only chooses the coordinates, and a second round under again_l1 learns their weights.
     """
     examples = examples.repartition(1).sortWithinPartitions(F.xxhash64("__id", F.lit("order")), "__id", "at")
@@ -67,16 +72,22 @@ def fit(examples: DataFrame, size: int, epochs: int, l1: float, again_l1: float
         import numpy as np
         import pyarrow as pa
 
-        rows = []
+        rows, held = [], 0
         for batch in batches:
-            for y, at, x in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "at", "x"))):
-                rows.append((y, np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4").astype(float)))
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in ("label", "at", "x")]
+            for i in range(batch.num_rows):
+                y, at, x = (c[i].as_py() for c in columns)
+                held += len(at) + len(x)
+                if held <= sample_bytes or not rows:
+                    rows.append((y, np.frombuffer(at, "<i4"), np.frombuffer(x, "<f4")))
+            if held > sample_bytes:
+                break
 
         def learned(rows, l1):
             model = Ftrl(size, l1=l1, **rates)
             for _ in range(epochs):
                 for y, at, x in rows:
-                    model.learn(at, x, y)
+                    model.learn(at, x.astype(float), y)
             return model.weights()
 
         w = learned(rows, l1)
