@@ -71,10 +71,32 @@ def setting(spark: SparkSession, **values: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Folders of the intermediate tables that this driver has made, oldest first.
+_made: list[str] = []
+
+
+def own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/siftstone/{spark.sparkContext.applicationId}"
+
+
+def hadoop_path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back; its shuffle files go at once."""
+    """Writes a table to the shared folder and reads it back; its shuffle files go at once.
+
+    The folder of an application is deleted when its driver ends, tables of a `discarding` block before that.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/siftstone/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    folder = own_folder(spark)
+    if not any(x.startswith(folder) for x in _made):
+        path, files = hadoop_path(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -85,9 +107,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard_tables(spark: SparkSession) -> None:
-    """Deletes the intermediate tables of this application, once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/siftstone/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes all intermediate tables of this application, once its results are written."""
+    path, files = hadoop_path(spark, own_folder(spark))
+    files.delete(path, True)
+    _made.clear()
+
+
+@contextlib.contextmanager
+def discarding(spark: SparkSession):
+    """Deletes the tables made inside the block but the last one, whose writing has used up the others."""
+    first = len(_made)
+    yield
+    for at in _made[first:-1]:
+        path, files = hadoop_path(spark, at)
+        files.delete(path, True)
+    del _made[first:-1]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -95,11 +129,19 @@ def partitions(spark: SparkSession) -> int:
 
 
 def without(df: DataFrame, *outputs: str) -> DataFrame:
-    """Drops the columns that an operator is about to make, so that its own win a clash of names."""
+    """Drops the columns that an operator is about to make, so that its own win a clash of names.
+
+    Names that start with two underscores are the operators' own in any table that they are given.
+    """
     taken = {x.lower() for x in outputs}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def check_whole_ids(df: DataFrame, id_column: str) -> None:
+    if dict(df.dtypes)[id_column] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_column} must be a whole number, not {dict(df.dtypes)[id_column]}")
+
+
 def byte_slices(batch, name: str, step: int = 256):
     """Slices of an Arrow batch, each with the UTF-8 bytes of one string column (None for null)."""
     import pyarrow as pa

@@ -11,7 +11,7 @@
    task gets much more than its share even if one line is in a third of all documents.
 4. A document gets back the hashes of the lines it loses and is rewritten.
 
-Defined results: a null or empty text is one empty line; rows that repeat a doc_id are one document;
+Defined results: ids are whole numbers (others raise TypeError); a null or empty text is one empty line; rows that repeat a doc_id are one document;
 a null doc_id is a document of its own that never owns a line; lines that are too short always stay.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import appended, byte_slices, materialize, partitions, table, without
+from siftstone.llm.common import appended, byte_slices, check_whole_ids, materialize, partitions, table, without
 
 MIN_DOCS = 5
 MIN_CHARS = 40
@@ -261,6 +261,7 @@ def dedup_lines(
     """The documents with kept_text, n_lines and n_dropped."""
     if min_docs > 65535:
         raise ValueError("counts saturate at 65535")
+    check_whole_ids(docs, id_column)
     docs = without(docs, *OUTPUTS)
     found = keys(docs.select(F.col(id_column).alias("__id"), F.col(text).alias("__text")), min_chars).distinct()
     found = materialize(found, "line-keys")

@@ -199,13 +199,14 @@ def robust_estimates(vectors: DataFrame) -> DataFrame:
     return smallest(now, 1)
 
 
-def judge(docs: DataFrame, estimates: DataFrame | None = None, counted: DataFrame | None = None) -> DataFrame:
-    """The documents (text, lang, source and any further columns) with the counts, base_failed, kept, distance."""
-    names = (*STATS, "base_failed", "kept", "distance")
-    keep = without(docs, *names).columns
-    if counted is None:
-        counted = with_counts(without(docs, *names).select(F.struct("*").alias("__row"), "text", "lang", "source"))
-        counted = materialize(counted.drop("text"), "quality-counts")  # texts are counted once; estimates read numbers only
+def counted_rows(docs: DataFrame) -> DataFrame:
+    """Each document whole as __row, with lang, source and the counts; texts are counted once, estimates read numbers only."""
+    counted = with_counts(docs.select(F.struct("*").alias("__row"), "text", "lang", "source"))
+    return materialize(counted.drop("text"), "quality-counts")
+
+
+def verdicts(counted: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
+    """counted (__row, lang, source, counts) with base_failed, d2 and kept."""
     vectors = vectors_of(counted)
     if estimates is None:
         estimates = materialize(robust_estimates(vectors.drop("__row")), "quality-estimates")
@@ -215,15 +216,21 @@ def judge(docs: DataFrame, estimates: DataFrame | None = None, counted: DataFram
     at = F.coalesce("at2", "at1", "at0")
     placed = vectors.withColumn("at", at).select("*", "at.*").drop("at2", "at1", "at0", "at")
     out = vectors.sparkSession.sql(distances("SELECT * FROM {v}"), v=placed)
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True))
-    return out.select(*[F.col("__row")[c].alias(c) for c in keep], *STATS[:5], "base_failed", kept.alias("kept"), F.col("d2").alias("distance"))
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= CUTOFF, F.lit(True)))
+
+
+def judge(docs: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
+    """The documents (text, lang, source and any further columns) with the counts, base_failed, kept, distance."""
+    docs = without(docs, *STATS, "base_failed", "kept", "distance")
+    out = verdicts(counted_rows(docs), estimates)
+    return out.select(*[F.col("__row")[c].alias(c) for c in docs.columns], *STATS[:5], "base_failed", "kept", F.col("d2").alias("distance"))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     counted = with_counts(docs.select(F.struct("doc_id").alias("__row"), "text", "lang", "source")).drop("text")
-    out = judge(docs.select("doc_id"), counted=materialize(counted, "quality-counts"))
-    return out.select("doc_id", *STATS[:5], "base_failed", "kept")
+    out = verdicts(materialize(counted, "quality-counts"))
+    return out.select("__row.doc_id", *STATS[:5], "base_failed", "kept")
 
 
 def op2_sql() -> str:

@@ -12,7 +12,7 @@ anchor that the other hits.
    repeats first and sends each window once, so a passage in a third of all documents stays small.
 3. Lost windows, joined up to maximal repeats, return to their documents and their words are removed.
 
-Defined results: null or wordless text has 0 words and the digest of the empty text; texts of fewer than
+Defined results: ids are whole numbers (others raise TypeError); null or wordless text has 0 words and the digest of the empty text; texts of fewer than
 20 words lose nothing; rows that repeat a doc_id and its text get the same result, and of rows that share
 a doc_id windows are ordered by start; a null doc_id comes after all others.
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import appended, byte_slices, materialize, partitions, table, without
+from siftstone.llm.common import appended, byte_slices, check_whole_ids, materialize, partitions, table, without
 
 WINDOW = 20
 BLOCK = WINDOW // 2
@@ -399,6 +399,7 @@ def without_windows(docs: DataFrame, lost: DataFrame, text: str) -> DataFrame:
 def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with kept_text, n_words and n_removed. Reads docs three times, in a fixed order."""
     spark = docs.sparkSession
+    check_whole_ids(docs, id_column)
     docs = without(docs, *OUTPUTS, "__doc", "__key", "__lost")
     docs = docs.select(
         F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("__doc"), F.xxhash64(text).alias("__key"), *docs.columns
