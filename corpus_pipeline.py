@@ -1,11 +1,13 @@
 """The corpus pipeline: rules, line dedup, near-duplicates, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return
-the columns of documents; the last returns the mix, one row per remaining document.
+the columns of documents as they came, whatever their names; the last returns the mix, one row per remaining
+document. Intermediate tables are deleted as soon as the next stage is written.
 
-Defined results: a document without text fails the rules; one that loses all its lines stays, empty;
-of a near-duplicate group the smallest doc_id stays, once; documents without a doc_id take part under a key of
-their text, which comes after all ids.
+Defined results: a document without text fails the rules; one that loses all its lines stays, empty. Of a
+near-duplicate group the document with the smallest doc_id stays, of several under that id the one whose text has the
+smallest md5, once; different texts under one doc_id are documents of their own here, and documents without a doc_id
+come after all others.
 """
 
 from __future__ import annotations
@@ -13,30 +15,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftstone.llm.common import materialize, table
+from siftstone.llm.common import discarding, materialize, table
 from siftstone.llm.decontaminate import clean
 from siftstone.llm.line_dedup import dedup_lines
-from siftstone.llm.quality_rules import judge
+from siftstone.llm.quality_rules import counted_rows, verdicts
 from siftstone.llm.simhash_dedup import near_duplicates
 from siftstone.llm.source_mixing import mix
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge(docs).where("kept").select(docs.columns)
+    return verdicts(counted_rows(docs)).where("kept").select("__row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_lines(docs)
-    made = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return out.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])
+    # Other columns travel together, so that none can clash with the operator's.
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = dedup_lines(docs.select("doc_id", "text", F.struct(F.lit(0).alias("__"), *others).alias("__others")))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*[made.get(c, F.col("__others")[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62))
-    keyed = docs.withColumn("__key", key)
-    first = near_duplicates(keyed.select("__key", "text"), "__key").where("__key = component_id").select("__key").distinct()
-    one = F.row_number().over(Window.partitionBy("__key").orderBy("text"))
-    return keyed.join(first, "__key", "left_semi").withColumn("__one", one).where("__one = 1").select(docs.columns)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("of"))
+    keyed = docs.select(key.alias("__key"), F.struct("*").alias("__row"), F.col("text").alias("__text"))
+    first = near_duplicates(keyed.select("__key", "__text"), "__key", "__text").where("__key = component_id").select("__key").distinct()
+    one = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("__row")))
+    kept = keyed.drop("__text").join(first, "__key", "left_semi").withColumn("__one", one).where("__one = 1")
+    return kept.select("__row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +67,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with discarding(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
