@@ -1,4 +1,5 @@
 import random
+import re
 
 from siftstone.llm import decontaminate as d
 
@@ -77,3 +78,51 @@ def test_bit_parallel_distance():
         for i, c in enumerate(a):
             masks[c] = masks.get(c, 0) | 1 << i
         assert d.nearest(masks, len(a), b)[0] == distance(a, b)
+
+
+def test_index_of_a_slice_against_every_pair(monkeypatch):
+    """Texts side by side, cut into small chunks, under several budgets of errors."""
+    monkeypatch.setattr(d, "CHUNK", 64)
+    docs, items = fixture()
+    items = [(i, d.folded(t)) for i, t in items if d.folded(t)]
+    texts = [d.folded(t)[-1500:] for _, t in docs]
+    for chars, border in ((12, None), (7, 0), (25, 30), (1000, 0)):
+        matcher = d.Matcher(d.Pieces(items, chars, border))
+        want = set()
+        for n, text in enumerate(texts):
+            for i, (_, item) in enumerate(items):
+                errors = len(item) // chars
+                if not errors:
+                    edge = f"(?<![^\\W_]){re.escape(item)}(?![^\\W_])" if len(item) < (chars if border is None else border) else re.escape(item)
+                    if re.search(edge, text):
+                        want.add((n, i, 0))
+                elif (k := distance(item, text)) <= errors:
+                    want.add((n, i, k))
+        got = list(matcher.hits(texts))
+        assert {x[:3] for x in got} == want and len(got) == len(want)
+        assert {x[0] for x in matcher.hits(texts, one_each=True)} == {x[0] for x in want}
+        for n, i, k, end in got:
+            item = items[i][1]
+            assert distance(item[::-1], texts[n][max(0, end - 2 * len(item)) : end][::-1]) == k
+
+
+def test_a_large_benchmark_costs_little_more():
+    """Twenty times the items: probes cost less than twice as much where they hit nothing more."""
+    import time
+
+    r = random.Random(1)
+    word = lambda a: "".join(r.choices(a, k=r.randint(3, 9)))
+    texts = [" ".join(word("abcdefghij") for _ in range(150)) for _ in range(400)]
+
+    def seconds(n):
+        items = [(i, " ".join(word("klmnopqrst") for _ in range(30))) for i in range(n)]
+        matcher = d.Matcher(d.Pieces(items))
+        assert not list(matcher.hits(texts))
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            list(matcher.hits(texts))
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert seconds(4000) < 2 * seconds(200)
