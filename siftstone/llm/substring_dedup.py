@@ -5,9 +5,14 @@ document. So the reference index holds the hashes of those non-overlapping block
 ten words, and every rolling window of 10 words probes it: of two equal 20-word windows each holds an
 anchor that the other hits.
 
-1. Anchors and probes go to shards as packed arrays (four bytes of hash and two of position a probe),
-   several hundred to a row; a shard answers with the positions that hit an anchor other than their own.
-2. Hits are extended: all 20-word windows around a hit get a 128-bit hash. Of equal windows the first
+1. A slice of documents settles the blocks that repeat inside it: where one of them is an anchor, all are hits and
+   none needs a probe, and every distinct anchor is sent once. So a passage in a third of all documents sends a row a
+   slice to its shard, not a row a document. The other anchors and probes go to shards as packed arrays (four bytes of
+   hash and two of position a probe), many to a row; a shard answers with the positions that hit an anchor other than
+   their own. There are as many shards as keep their anchors below ``SHARD_ANCHORS``, so that chance hits of the four
+   bytes stay below one in 250 probes at any size.
+2. Hits are extended: all 20-word windows around a hit get a 128-bit hash, two polynomials of the 64-bit hashes of
+   their words; equal hashes count as equal words and are not compared again. Of equal windows the first
    (smaller doc_id, then earlier start) stays; the others are lost. A batch of documents settles its own
    repeats first and sends each window once, so a passage in a third of all documents stays small.
 3. Lost windows, joined up to maximal repeats, return to their documents and their words are removed.
@@ -31,6 +36,10 @@ Q = 0xC2B2AE3D27D4EB4F
 #: Words of a batch of documents at least, and probes of a row on average.
 SLICE_WORDS = 1 << 17
 ROW_PROBES = 256
+MOST_SLICE_WORDS = 1 << 21
+#: Anchors of a shard, and bytes of text that make one (ten words).
+SHARD_ANCHORS = 1 << 24
+ANCHOR_BYTES = 50
 REMEMBERED = 200_000
 LAST = (1 << 63) - 1
 OUTPUTS = ("kept_text", "n_words", "n_removed")
@@ -131,7 +140,36 @@ def unpacked_places(data: bytes):
 
 
 ROW = "shard int, kind int, slice binary, a binary, b binary"
-ANCHORS, PROBES, DOCS = 0, 1, 2
+ANCHORS, PROBES, DOCS, LOCAL = range(4)
+
+
+def own_repeats(r, anchor):
+    """Indices of the blocks that must probe, of those that hit an anchor in their own slice, and of an anchor of each hash.
+
+    r, anchor: hash of each block and whether it is an anchor.
+    """
+    import numpy as np
+
+    if not len(r):
+        return (np.empty(0, np.int64),) * 3
+    order = np.lexsort((~anchor, r))  # an anchor comes first among its equals
+    new = np.ones(len(r), bool)
+    new[1:] = r[order][1:] != r[order][:-1]
+    first = np.flatnonzero(new)
+    size = np.diff([*first, len(r)])
+    settled = np.repeat((size > 1) & anchor[order[first]], size)
+    return np.sort(order[~settled]), np.sort(order[settled]), np.sort(order[first][anchor[order[first]]])
+
+
+def by_shard(r, shards: int):
+    """(shard, indices in ascending order) of hashes."""
+    import numpy as np
+
+    shard = ((r >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        if len(own):
+            yield int(shard[own[0]]), own
 
 
 def sent(docs: DataFrame, shards: int) -> DataFrame:
@@ -144,23 +182,21 @@ def sent(docs: DataFrame, shards: int) -> DataFrame:
 
         known = Hashes()
         with np.errstate(over="ignore"):
-            for rows, texts in slices(batches, max(SLICE_WORDS, ROW_PROBES * shards)):
+            for rows, texts in slices(batches, min(MOST_SLICE_WORDS, max(SLICE_WORDS, ROW_PROBES * shards))):
                 some = Slice(texts, known)
                 ids = np.stack([rows.column(i).to_numpy() for i in range(2)], axis=1).astype("<i8")
                 name = xxh3_128_digest(ids.tobytes() + some.hash.tobytes())
                 at, r, anchor = some.tens()
-                shard = ((r >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                at, anchor, low, shard = at[order], anchor[order], r[order].astype("<u4"), shard[order]
-                cut = np.flatnonzero(np.diff(shard)) + 1
-                out = [(int.from_bytes(name[:4], "little") % shards, DOCS, name, ids.tobytes(), some.size.astype("<i8").tobytes())]
-                for lo, hi in zip([0, *cut], [*cut, len(shard)]):
-                    if lo == hi:
-                        continue
-                    s, own = int(shard[lo]), anchor[lo:hi]
-                    if own.any():
-                        out.append((s, ANCHORS, name, low[lo:hi][own].tobytes(), b""))
-                    out.append((s, PROBES, name, low[lo:hi].tobytes(), np.packbits(own).tobytes() + packed_places(at[lo:hi])))
+                home = int.from_bytes(name[:4], "little") % shards
+                out = [(home, DOCS, name, ids.tobytes(), some.size.astype("<i8").tobytes())]
+                sole, settled, anchors = own_repeats(r, anchor)
+                if len(settled):
+                    out.append((home, LOCAL, name, at[settled].astype("<u4").tobytes(), b""))
+                for s, own in by_shard(r[anchors], shards):
+                    out.append((s, ANCHORS, name, r[anchors][own].astype("<u4").tobytes(), b""))
+                at, anchor, r = at[sole], anchor[sole], r[sole]
+                for s, own in by_shard(r, shards):
+                    out.append((s, PROBES, name, r[own].astype("<u4").tobytes(), np.packbits(anchor[own]).tobytes() + packed_places(at[own])))
                 kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["shard", "kind", "slice", "a", "b"]
@@ -182,8 +218,8 @@ def answered(rows: DataFrame) -> DataFrame:
             for s, kind, name, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 if s != shard:
                     shard, held, index = s, [], None
-                if kind == DOCS:
-                    out.append((name, 0, a, b))
+                if kind >= DOCS:
+                    out.append((name, kind - DOCS, a, b))
                     continue
                 low = np.frombuffer(a, "<u4")
                 if kind == ANCHORS:
@@ -405,16 +441,18 @@ def dedup_substrings(docs: DataFrame, id_column: str = "doc_id", text: str = "te
         F.coalesce(F.col(id_column).cast("long"), F.lit(LAST)).alias("__doc"), F.xxhash64(text).alias("__key"), *docs.columns
     )
     slim = docs.select("__doc", "__key", F.col(text).alias("__text")).where("__text is not null")
-    shards = partitions(spark)
+    parts = partitions(spark)
+    text_bytes = slim.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
+    shards = parts * max(1, -(-text_bytes // (ANCHOR_BYTES * SHARD_ANCHORS * parts)))
     deal = getattr(DataFrame, "repartitionById", None)
     rows = sent(slim, shards)
     rows = rows.repartitionById(shards, "shard") if deal else rows.repartition(shards, "shard")
     answers = answered(rows.sortWithinPartitions("shard", "kind"))
-    answers = answers.repartition(shards, "slice").sortWithinPartitions("slice", "kind")
+    answers = answers.repartition(parts, "slice").sortWithinPartitions("slice", "kind")
     hits = materialize(by_document(answers), "substring-hits")
     hits = hits.groupBy("__doc", "__key").agg(F.collect_list("at").alias("hits"))
     near = slim.join(hits, ["__doc", "__key"]).select("__doc", "__key", "__text", "hits")
-    found = windows(near).repartition(shards, "h", "g").sortWithinPartitions("h", "g", "__doc", "at")
+    found = windows(near).repartition(parts, "h", "g").sortWithinPartitions("h", "g", "__doc", "at")
     lost = materialize(losers(found), "substring-lost")
     return without_windows(docs, lost, text)
 

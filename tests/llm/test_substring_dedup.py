@@ -47,3 +47,32 @@ def test_matches_brute_force(spark, tmp_path):
 
 def test_empty_table(spark):
     assert s.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_repeats_of_a_slice_need_no_probes():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n in (0, 1, 300):
+        h = r.integers(0, 80, n).astype(np.uint64) << np.uint64(40)
+        anchor = r.random(n) < 0.2
+        sole, settled, anchors = s.own_repeats(h, anchor)
+        groups = {x: np.flatnonzero(h == x) for x in set(h.tolist())}
+        want = sorted(i for g in groups.values() if len(g) > 1 and anchor[g].any() for i in g.tolist())
+        assert settled.tolist() == want and sole.tolist() == sorted(set(range(n)) - set(want))
+        assert sorted(h[anchors].tolist()) == sorted(x for x, g in groups.items() if anchor[g].any()) and anchor[anchors].all()
+
+
+def test_many_shards_give_the_same(spark, monkeypatch):
+    data = [x for x in rows() if x[0] is not None]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = sorted((x.doc_id, x.kept_text) for x in s.dedup_substrings(df).collect())
+    monkeypatch.setattr(s, "SHARD_ANCHORS", 20)
+    assert sorted((x.doc_id, x.kept_text) for x in s.dedup_substrings(df).collect()) == want
+
+
+def test_ids_are_whole_numbers(spark):
+    import pytest
+
+    with pytest.raises(TypeError):
+        s.dedup_substrings(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
