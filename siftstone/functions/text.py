@@ -13,11 +13,13 @@ STOPWORDS = (
     "the", "a", "an", "of", "to", "in", "for", "and", "or", "is", "are", "be", "been", "as", "at", "by", "on",
     "it", "its", "this", "that", "with", "from", "which", "if", "then", "else", "was", "were",
 )
-SPEC_REFERENCE = r"(?i)(?<![0-9A-Za-z_])(?:TS\s*|TR\s*)?(\d{2}\.\d{3})(?![0-9A-Za-z_])"
-CLAUSE_REFERENCE = r"(?i)(?:clause|section|§)\s*([0-9]+(?:\.[0-9A-Za-z]+)*)"
+# (?iU) stands for a pattern compiled without regard to case over Unicode classes.
+SPEC_REFERENCE = r"(?iU)\b(?:TS\s*|TR\s*)?(\d{2}\.\d{3})\b"
+CLAUSE_REFERENCE = r"(?iU)(?:clause|section|§)\s*([0-9]+(?:\.[0-9A-Za-z]+)*)"
 NORMATIVE = r"(?i)\b(shall|shall not|must|should|should not|may|need not)\b"
 
-BLANK = r"[ \t\n\x0B\f\r]+"
+#: White space of any script, no-break spaces included.
+BLANK = r"(?U)[\s\x1C-\x1F]+"
 
 
 def bound(value: Column, body) -> Column:
@@ -26,7 +28,7 @@ def bound(value: Column, body) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{BLANK}|{BLANK}$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def one_line(text: Column) -> Column:
@@ -114,11 +116,13 @@ def error_status(message: Column) -> Column:
 
 
 def prompt(question: Column, hits: Column) -> Column:
-    """Numbered passages and the question. hits: array of struct(citation, breadcrumb, clause_title, text)."""
+    """The question and numbered passages, in the fixed layout. hits: array of struct(citation, breadcrumb, clause_title, text)."""
+    none = lambda c: F.coalesce(c, F.lit(""))
     one = lambda h, i: F.format_string(
-        "[%d] %s\nSection: %s\nTitle: %s\n%s", i + 1, h["citation"], h["breadcrumb"], h["clause_title"], h["text"]
+        "\n[%d] %s\n    section: %s\n    title:   %s\n%s", i + 1, h["citation"], none(h["breadcrumb"]), none(h["clause_title"]), h["text"]
     )
-    return F.concat(F.lit("PASSAGES\n\n"), F.array_join(F.transform(hits, one), "\n\n"), F.lit("\n\nQUESTION: "), question)
+    head = F.concat(F.lit("QUESTION: "), question, F.lit("\n\nPASSAGES:"))
+    return F.array_join(F.concat(F.array(head), F.transform(hits, one)), "\n")
 
 
 def markdown_table(rows: Column) -> Column:

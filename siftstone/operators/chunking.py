@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import bound, citation, context_header, has_normative, n_words, strip
-from siftstone.operators import splitting
+from siftstone.operators import nesting, splitting
 
 # Token limits and line patterns.
 MAX_TOKENS = 1000
@@ -21,26 +21,9 @@ NEST = r"^(\d+)>"
 CONTINUATION = (
     r"^(NOTE\s*\d*\b|Editor's [Nn]ote\b|[-–—•*][\s\t]|\(?[a-zA-Z][)\.][\s\t]|\(?\d+[)][\s\t]|\(?[ivxIVX]+[)][\s\t])"
 )
-MAX_DEPTH = 12
 UNIT = "array<struct<kind:string,text:string,tokens:int,atomic:boolean>>"
 
 
-def greedy(tokens: Column, limit: int, budget: Column | int = 0) -> Column:
-    """Piece number of each of an array of sizes: a piece ends where the next would pass the limit."""
-    start = F.lit(budget).cast("long") if isinstance(budget, int) else budget.cast("long")
-    zero = F.struct(start.alias("tok"), F.lit(0).alias("piece"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
-
-    def step(s, t):
-        cut = (s["n"] > 0) & (s["tok"] + t > limit)
-        piece = F.when(cut, s["piece"] + 1).otherwise(s["piece"])
-        return F.struct(
-            (F.when(cut, start).otherwise(s["tok"]) + t).alias("tok"), piece.alias("piece"),
-            F.when(cut, 1).otherwise(s["n"] + 1).alias("n"), F.concat(s["out"], F.array(piece)).alias("out"),
-        )
-
-    return F.aggregate(tokens, zero, step, lambda s: s["out"])
-
-
 def split_words(text: Column, limit: int) -> Column:
     """Every ``limit`` words of a text as a piece."""
     words = lambda t: F.filter(F.split(t, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
@@ -79,31 +62,34 @@ def with_units(clauses: DataFrame, max_tokens: int = MAX_TOKENS, target: int = T
 def merge_up(clauses: DataFrame, min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS, strict_ancestor: bool = False) -> DataFrame:
     """(doc, order, into): the order of the clause that each clause's units join, its own for a group.
 
-    A running budget with a stack has no relational form: one fold per document over small rows.
+    A running budget has no relational form: a stream along the clauses of a document, small rows only.
     strict_ancestor also asks that the ancestor stands in the clause's breadcrumb.
     """
     small = clauses.where(F.size("units") > 0).select(
-        "doc", "order", "level", "clause_id", "clause_title", "breadcrumb",
+        "doc", "order", "level", "breadcrumb", F.concat_ws(" ", "clause_id", "clause_title").alias("name"),
         F.aggregate("units", F.lit(0).cast("long"), lambda a, u: a + u["tokens"]).alias("tokens"),
     )
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        stack, into = [], []
-        for r in rows.sort_values("order").itertuples():
-            while stack and stack[-1]["level"] >= r.level:
-                stack.pop()
-            top = stack[-1] if stack else None
-            fits = top is not None and r.tokens < min_tokens and top["tokens"] + r.tokens <= max_tokens
-            if fits and (not strict_ancestor or top["name"] in (r.breadcrumb or "").split(" > ")):
-                top["tokens"] += r.tokens
-                into.append((r.doc, r.order, top["order"]))
-                continue
-            stack.append({"level": r.level, "tokens": r.tokens, "order": r.order, "name": f"{r.clause_id} {r.clause_title}"})
-            into.append((r.doc, r.order, r.order))
-        return pd.DataFrame(into, columns=["doc", "order", "into"])
-
-    kinds = dict(clauses.dtypes)
-    return small.groupBy("doc").applyInPandas(fold, f"doc {kinds['doc']}, `order` {kinds['order']}, `into` {kinds['order']}")
+    def fold():
+        # Open heads of groups by level, each with its size, place and name.
+        levels, sizes, heads, into = [], [], [], None
+        while True:
+            level, tokens, order, name, breadcrumb = yield into
+            keep = next((k for k, x in enumerate(levels) if x >= level), len(levels))
+            del levels[keep:], sizes[keep:], heads[keep:]
+            joins = keep > 0 and tokens < min_tokens and sizes[-1] + tokens <= max_tokens
+            if joins and (not strict_ancestor or heads[-1][1] in (breadcrumb or "").split(" > ")):
+                sizes[-1] += tokens
+                into = heads[-1][0]
+            else:
+                levels.append(level)
+                sizes.append(tokens)
+                heads.append((order, name))
+                into = order
+
+    kind = dict(clauses.dtypes)["order"]
+    inputs = ["level", "tokens", "order", "name", "breadcrumb"]
+    return nesting.streamed(small.repartition("doc"), ["doc"], ["order"], inputs, "into", kind, fold).select("doc", "order", "into")
 
 
 def flat_units(clauses: DataFrame, merged: DataFrame, max_tokens: int = MAX_TOKENS, target: int = TARGET_TOKENS) -> DataFrame:
@@ -126,41 +112,28 @@ def hard_split(units: DataFrame, key: list[str], max_tokens: int = MAX_TOKENS, t
     return cut.withColumn("tokens", tokens).drop("old", "i", "whole")
 
 
-def with_ancestors(units: DataFrame, key: list[str], max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Adds depth and ancestors: positions of the lines that enclose each line.
+def with_ancestors(units: DataFrame, key: list[str]) -> DataFrame:
+    """Adds depth and ancestors: positions of the lines that enclose each line, however deep.
 
-    A line of depth k is open if it is the last of its depth, later than the last line of any smaller depth and than
-    the last prose line that closed the list; prose closes it unless it continues or a deeper line follows.
+    A line of some depth is open until the next one of its depth or less, or until prose closes the list: prose that
+    doesn't continue and is followed by no deeper line.
     """
-    depth = F.regexp_extract("text", NEST, 1).try_cast("int")
     w = Window.partitionBy(*key).orderBy("pos")
-    rows = units.withColumn("depth", depth)
+    rows = units.withColumn("depth", F.regexp_extract("text", NEST, 1).try_cast("int"))
     rows = rows.withColumn("next_depth", F.first("depth", True).over(w.rowsBetween(1, Window.unboundedFollowing)))
     closes = F.col("depth").isNull() & (F.col("kind") == "prose") & ~F.col("text").rlike(CONTINUATION)
     rows = rows.withColumn("closes", closes & (F.col("next_depth").isNull() | (F.col("next_depth") == 1)))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    depths = range(1, max_depth + 1)
-    rows = rows.select(
-        "*",
-        *(F.max(F.when(F.col("depth") == k, F.col("pos"))).over(before).alias(f"at{k}") for k in depths),
-        *(F.max(F.when((F.col("depth") < k) | F.col("closes"), F.col("pos"))).over(before).alias(f"under{k}") for k in depths),
-    )
-    is_open = lambda k: (F.col(f"at{k}") > F.coalesce(F.col(f"under{k}"), F.lit(-1))) & (F.col("depth").isNull() | (F.lit(k) < F.col("depth")))
-    chain = F.array_compact(F.array(*(F.when(is_open(k), F.col(f"at{k}")) for k in depths)))
-    chain = F.when(F.col("closes"), F.slice(chain, 1, 0)).otherwise(chain)
-    return rows.withColumn("ancestors", chain).select(*units.columns, "depth", "ancestors")
+    pos = dict(units.dtypes)["pos"]
+    rows = nesting.streamed(rows, key, ["pos"], ["depth", "closes", "pos"], "ancestors", f"array<{pos}>", nesting.open_ancestors)
+    return rows.select(*units.columns, "depth", "ancestors")
 
 
 def pack(units: DataFrame, key: list[str], target: int = TARGET_TOKENS, overlap: int = OVERLAP_TOKENS) -> DataFrame:
     """(key, piece, pos, role): the units of each piece in order; role body, overlap or condition.
 
-    units: key, pos, tokens, atomic, ancestors. Cuts are a fold over the sizes of one group; the rest is windows.
+    units: key, pos, tokens, atomic, ancestors. Cuts are a fold along the sizes of a group; the rest is windows.
     """
-    sizes = units.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("u"))
-    piece = sizes.select(*key, F.explode(F.arrays_zip(F.col("u.pos").alias("pos"), greedy(F.col("u.tokens"), target).alias("piece"))).alias("p")).select(
-        *key, F.col("p.pos").alias("pos"), F.col("p.piece").alias("piece")
-    )
-    body = units.join(piece, [*key, "pos"])
+    body = nesting.streamed(units.repartition(*key), key, ["pos"], ["tokens"], "piece", "int", nesting.pieces(target))
     back = Window.partitionBy(*key, "piece").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
     last = F.max("piece").over(Window.partitionBy(*key))
     tail = (F.sum("tokens").over(back) <= overlap) & ~F.bool_or("atomic").over(back) & (F.col("piece") < last)
@@ -253,33 +226,48 @@ def oversize(chunks: DataFrame, limit: int = MAX_TOKENS) -> DataFrame:
     )
 
 
+def running_sum(rows: DataFrame, order: list[str], value: str, out: str, by: list[str] | None = None) -> DataFrame:
+    """rows with the sum of value up to and with each row in the order, per ``by``, which comes first in the order.
+
+    The rows are dealt by ranges to a fixed number of partitions; sums of the partitions (one row each) come on top.
+    """
+    by = by or []
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id())
+    inner = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = dealt.withColumn("__inner", F.sum(value).over(inner))
+    sizes = dealt.groupBy("__part", *by).agg(F.sum(value).alias("__own"))
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__{c}") for c in by), F.coalesce(F.sum("__own").over(earlier), F.lit(0)).alias("__before"))
+    same = F.col("__part") == F.col("__p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return dealt.join(F.broadcast(sizes), same).select(*rows.columns, (F.col("__inner") + F.col("__before")).alias(out))
+
+
 def index_percentiles(rows: DataFrame, value: str, shares: dict[str, tuple[float, int]], by: list[str] | None = None) -> DataFrame:
     """Values at an index of the sorted list, never interpolated: name: (share, shift of the index).
 
-    Works on counts of distinct values, which are few and summed map-side.
+    Works on counts of distinct values, summed map-side and then along ranges of values.
     """
     by = by or []
     counted = rows.groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    counted = counted.select("*", upto.alias("upto"), F.sum("c").over(w).alias("n"))
+    total = counted.groupBy(*by).agg(F.sum("c").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
+    along = running_sum(counted, [value], "c", "upto", by)
+    whole = total.select(*(F.col(c).alias(f"of_{c}") for c in by), "n", "min", "max")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    along = along.join(F.broadcast(whole), same) if by else along.crossJoin(F.broadcast(whole))  # one row a class
     at = lambda share, shift: F.greatest(F.lit(0), F.least(F.floor(F.col("n") * F.lit(share)) + shift, F.col("n") - 1))
-    return counted.groupBy(*by).agg(
-        F.first("n").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"),
+    return along.groupBy(*by).agg(
+        F.first("n").alias("n"), F.first("min").alias("min"), F.first("max").alias("max"),
         *(F.min(F.when(F.col("upto") > at(*x), F.col(value))).alias(name) for name, x in shares.items()),
     )
 
 
 def systematic_sample(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """Every (rows // n)-th row in order, n at most; evenly spaced, so that reruns agree."""
-    total = rows.count()
-    step = max(1, total // n)
-    place = F.row_number().over(Window.orderBy(*order)) - 1 if total <= 1_000_000 else None
-    if place is None:  # ranks by sorted partitions instead of one window over all
-        ranked = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id())
-        ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(*order)))
-        sizes = ranked.groupBy("p").agg(F.count("*").alias("own"))
-        before = F.coalesce(F.sum("own").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = ranked.join(sizes.select("p", before.alias("before")), "p")
-        return ranked.withColumn("place", F.col("before") + F.col("i") - 1).where(f"place % {step} = 0 and place < {step * n}").drop("p", "i", "before")
-    return rows.withColumn("place", place.cast("long")).where(f"place % {step} = 0 and place < {step * n}")
+    step = max(1, rows.count() // n)
+    ranked = running_sum(rows.withColumn("__one", F.lit(1).cast("long")), order, "__one", "place").drop("__one")
+    return ranked.withColumn("place", F.col("place") - 1).where(f"place % {step} = 0 and place < {step * n}")

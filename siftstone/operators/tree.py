@@ -1,7 +1,7 @@
 """Clause trees from styled paragraphs: headings, blocks, breadcrumbs, dropped clauses.
 
 Rows come in document order: doc, pos, style, kind (paragraph or table), text. All of it is windows over
-(doc, pos), so documents are independent and no document has to fit in one call.
+(doc, pos) and a stream along headings, so documents are independent and no document has to fit in one call.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftstone.functions.text import bound, one_line, strip
+from siftstone.operators import nesting
 
 # Heading patterns, dropped titles, placeholder bodies, styles.
 NUMBERED = r"(?s)^([A-Za-z0-9]+(?:\.[A-Za-z0-9]+)*)\s+(.+)$"
@@ -21,7 +22,6 @@ DROPPED_TITLES = (
 VOID_BODIES = ("void", "<void>", "(void)", "-", "–")
 ANNEX_LEVEL = 8
 CODE_STYLE = "PL"
-MAX_LEVEL = 9
 
 
 def parse_heading(style: Column, raw: Column) -> Column:
@@ -70,20 +70,14 @@ def clauses(rows: DataFrame) -> DataFrame:
     )
 
 
-def with_breadcrumbs(headings: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
+def with_breadcrumbs(headings: DataFrame) -> DataFrame:
     """Adds the open ancestors as "id title > id title". headings: doc, nth, clause_id, title, level.
 
-    A heading of level k is still open if no later one before has a level of k or less; so it is the
-    last of its level, and later than the last of any smaller level.
+    A heading is open until the next one of its level or a higher one, at any depth.
     """
-    before = Window.partitionBy("doc").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    named = headings.withColumn("name", F.struct("nth", F.concat_ws(" ", "clause_id", "title").alias("name")))
-    last = {k: F.max(F.when(F.col("level") == k, F.col("name"))).over(before) for k in range(-1, max_level + 1)}
-    lower = {k: F.max(F.when(F.col("level") < k, F.col("nth"))).over(before) for k in last}
-    named = named.select("*", *(c.alias(f"a{k + 1}") for k, c in last.items()), *(c.alias(f"l{k + 1}") for k, c in lower.items()))
-    is_open = lambda k: (F.col(f"a{k + 1}.nth") > F.coalesce(F.col(f"l{k + 1}"), F.lit(-1))) & (F.lit(k) < F.col("level"))
-    chain = F.concat_ws(" > ", *(F.when(is_open(k), F.col(f"a{k + 1}.name")) for k in last))
-    return named.withColumn("breadcrumb", chain).select(*headings.columns, "breadcrumb")
+    named = headings.select("*", F.concat_ws(" ", "clause_id", "title").alias("name"), F.lit(False).alias("closes")).repartition("doc")
+    found = nesting.streamed(named, ["doc"], ["nth"], ["level", "closes", "name"], "above", "array<string>", nesting.open_ancestors)
+    return found.select(*headings.columns, F.array_join("above", " > ").alias("breadcrumb"))
 
 
 def merge_blocks(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftstone.functions import text as tx
 from siftstone.functions import versions
-from siftstone.operators import answers, bm25, chunking, evaluate, fusion, tree, vectors, verify
+from siftstone.operators import answers, bm25, chunking, evaluate, fusion, scorers, tree, vectors, verify
 from siftstone.plans import ask
 from siftstone.plans import inputs as i
 from siftstone.plans.retrieve import Retriever
@@ -73,7 +73,7 @@ def tokens_multiform(spark, sf_dir):
     return rows.select("doc_id", F.size("t").alias("n_forms"), F.md5(F.array_join("t", " ").cast("binary")).alias("forms_md5"))
 
 
-REFS = r"""SELECT {0} AS qid, list_sort(list_distinct(regexp_extract_all(question, '(?:TS\s*|TR\s*)?(\d{{2}}\.\d{{3}})', 1))) AS specs,
+REFS = r"""SELECT {0} AS qid, list_sort(list_distinct(regexp_extract_all(question, '(?i)\b(?:TS\s*|TR\s*)?(\d{{2}}\.\d{{3}})\b', 1))) AS specs,
  list_sort(list_distinct(regexp_extract_all(question, '(?i)(?:clause|section|§)\s*([0-9]+(?:\.[0-9A-Za-z]+)*)', 1))) AS clauses"""
 
 
@@ -258,8 +258,91 @@ def ask_stages(spark, sf_dir):
     return ask.ask(Retriever(chunks, bm25.build_index(chunks, text="text")), i.lookup_questions(spark, sf_dir)).select("qid", "stage")
 
 
+# Prompts, judges and replies
+
+PASSAGE = """chr(10) || '[' || CAST(k AS VARCHAR) || '] doc ' || CAST(item_id AS VARCHAR) || chr(10) || '    section: ' || CASE WHEN k = 2 THEN '' ELSE 'up' END || chr(10) || '    title:   t'
+ || chr(10) || substr(text, 1, 10 * k)"""
+
+
+@query(f"SELECT item_id AS qid, 'QUESTION: ' || text || chr(10) || chr(10) || 'PASSAGES:' || (SELECT string_agg(chr(10) || {PASSAGE}, '' ORDER BY k) FROM unnest([1, 2, 3]) AS u(k)) AS prompt FROM benchmark")
+def prompts(spark, sf_dir):
+    hits = F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda k: F.struct(
+        F.format_string("doc %d", F.col("item_id")).alias("citation"), F.when(k != 2, "up").alias("breadcrumb"), F.lit("t").alias("clause_title"), F.substring(F.col("text"), F.lit(1), 10 * k).alias("text"),
+    ))
+    return i.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), tx.prompt(F.col("text"), hits).alias("prompt"))
+
+
+REPLY = "CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'no idea' WHEN 2 THEN 'nan' WHEN 3 THEN ' 0.' || CAST(c_custkey AS VARCHAR) || ' because' WHEN 4 THEN CAST(c_custkey AS VARCHAR) ELSE '-1' END"
+
+
+@query(f"""SELECT c_custkey, x AS score, x = 0 AS contradicted FROM (SELECT c_custkey, CASE WHEN v IS NULL OR isnan(v) THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, v)) END AS x
+ FROM (SELECT c_custkey, TRY_CAST(string_split(trim({REPLY}), ' ')[1] AS DOUBLE) AS v FROM customer) AS r) AS s""")
+def judge_replies(spark, sf_dir):
+    c = F.col("c_custkey")
+    reply = F.when(c % 6 == 0, "").when(c % 6 == 1, "no idea").when(c % 6 == 2, "nan").when(c % 6 == 3, F.concat(F.lit(" 0."), c.cast("string"), F.lit(" because"))).when(c % 6 == 4, c.cast("string")).otherwise("-1")
+    return i.table(spark, sf_dir, "customer").select("c_custkey", scorers.reply_verdict(tx.judge_number(reply)).alias("v")).select("c_custkey", "v.*")
+
+
+@query("SELECT doc_id, length(text) AS n_chars, md5(substr(text, 1, 12000)) AS passage_md5 FROM documents WHERE text IS NOT NULL")
+def judged_passages(spark, sf_dir):
+    rows = i.table(spark, sf_dir, "documents").where("text is not null")
+    return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5(scorers.judged_passage(F.col("text")).cast("binary")).alias("passage_md5"))
+
+
+LOGITS = "[CAST(c_custkey % 7 AS DOUBLE) / 2, CAST(c_custkey % 5 AS DOUBLE) / 3, CAST(c_custkey % 3 AS DOUBLE)]"
+
+
+@query(f"""SELECT c_custkey, round(exp(l[2]) / (exp(l[1]) + exp(l[2]) + exp(l[3])), 9) AS score, l[1] >= l[2] AND l[1] >= l[3] AS contradicted FROM (SELECT c_custkey, {LOGITS} AS l FROM customer) AS s""")
+def entailment_scores(spark, sf_dir):
+    c = F.col("c_custkey")
+    v = scorers.entailment(F.array((c % 7).cast("double") / 2, (c % 5).cast("double") / 3, (c % 3).cast("double")))
+    return i.table(spark, sf_dir, "customer").select("c_custkey", v.alias("v")).select("c_custkey", F.round("v.score", 9).alias("score"), "v.contradicted")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 400 + c_custkey % 100 WHEN 1 THEN 503 ELSE NULL END AS status FROM customer""")
+def error_statuses(spark, sf_dir):
+    c = F.col("c_custkey")
+    message = F.when(c % 4 == 0, F.concat((400 + c % 100).cast("string"), F.lit(" gone"))).when(c % 4 == 1, "503 UNAVAILABLE").when(c % 4 == 2, "no 503").otherwise("")
+    return i.table(spark, sf_dir, "customer").select("c_custkey", tx.error_status(message).cast("long").alias("status"))
+
+
 # Trees and chunks
 
+HEADING = """CASE p_partkey % 5 WHEN 0 THEN CAST(p_partkey % 9 + 1 AS VARCHAR) || '.' || CAST(p_partkey % 4 AS VARCHAR) || chr(160) || 'Title ' || CAST(p_partkey % 7 AS VARCHAR)
+ WHEN 1 THEN '– ' || 'Cell' || chr(9) || 'of ' || CAST(p_partkey AS VARCHAR) WHEN 2 THEN 'Annex' || chr(8195) || chr(CAST(65 + p_partkey % 26 AS INTEGER)) || ' (Informative):' || chr(160) || 'Part ' || CAST(p_partkey AS VARCHAR)
+ WHEN 3 THEN chr(160) || 'A.' || CAST(p_partkey % 3 AS VARCHAR) || chr(10) || ' Sub' ELSE '•lone' || CAST(p_partkey AS VARCHAR) END"""
+
+
+@query(rf"""WITH h AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 2 THEN 8 ELSE p_partkey % 12 END AS style, trim(regexp_replace({HEADING}, '[\s\x{{a0}}\x{{2003}}]+', ' ', 'g')) AS t FROM part),
+ m AS (SELECT *, regexp_matches(t, '^[A-Za-z0-9]+(\.[A-Za-z0-9]+)* .+$') AS numbered, regexp_matches(t, '^Annex [A-Z] \(') AS annex, regexp_replace(t, '^[–—•-] ?', '') AS bare FROM h)
+SELECT p_partkey, CASE WHEN style = 8 AND annex THEN substr(t, 1, 7) WHEN style = 8 THEN t WHEN numbered THEN split_part(t, ' ', 1) ELSE bare END AS clause_id,
+ CASE WHEN style = 8 AND annex THEN substr(t, strpos(t, ': ') + 2) WHEN style = 8 THEN t WHEN numbered THEN substr(t, strpos(t, ' ') + 1) ELSE bare END AS title,
+ CAST(CASE WHEN style = 8 THEN 1 ELSE style END AS INTEGER) AS level, style = 8 AS is_annex_banner, CASE WHEN style = 8 AND annex THEN 'informative' ELSE '' END AS annex_kind FROM m""")
+def parsed_headings(spark, sf_dir):
+    n = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    raw = (
+        F.when(n % 5 == 0, F.concat(text(n % 9 + 1), F.lit("."), text(n % 4), F.lit("\xa0Title "), text(n % 7))).when(n % 5 == 1, F.concat(F.lit("– Cell\tof "), text(n)))
+        .when(n % 5 == 2, F.concat(F.lit("Annex\u2003"), F.char(65 + n % 26), F.lit(" (Informative):\xa0Part "), text(n))).when(n % 5 == 3, F.concat(F.lit("\xa0A."), text(n % 3), F.lit("\n Sub")))
+        .otherwise(F.concat(F.lit("•lone"), text(n)))
+    )
+    style = F.concat(F.lit("Heading "), F.when(n % 5 == 2, 8).otherwise(n % 12).cast("string"))
+    return i.table(spark, sf_dir, "part").select("p_partkey", tree.parse_heading(style, raw).alias("h")).select("p_partkey", "h.*")
+
+
+BODY = "CASE p_partkey % 6 WHEN 0 THEN ' (Void) ' WHEN 1 THEN '' WHEN 2 THEN chr(8211) WHEN 3 THEN 'VOID' ELSE p_name END"
+TITLE = "CASE p_partkey % 11 WHEN 0 THEN 'Scope ' WHEN 1 THEN 'Change HISTORY' WHEN 2 THEN 'void' WHEN 3 THEN 'Introduction to it' ELSE p_type END"
+
+
+@query(f"""SELECT p_partkey FROM (SELECT p_partkey, lower(trim({TITLE})) AS t, lower(trim({BODY})) AS b FROM part) AS s WHERE b NOT IN ('', 'void', '<void>', '(void)', '-', chr(8211))
+ AND t NOT IN ('foreword', 'scope', 'references', 'definitions of terms, symbols and abbreviations', 'change history', 'introduction', 'void')""")
+def useful_clauses(spark, sf_dir):
+    n = F.col("p_partkey")
+    body = F.when(n % 6 == 0, " (Void) ").when(n % 6 == 1, "").when(n % 6 == 2, "–").when(n % 6 == 3, "VOID").otherwise(F.col("p_name"))
+    title = F.when(n % 11 == 0, "Scope ").when(n % 11 == 1, "Change HISTORY").when(n % 11 == 2, "void").when(n % 11 == 3, "Introduction to it").otherwise(F.col("p_type"))
+    return tree.keep_useful(i.table(spark, sf_dir, "part").select(n, body.alias("full_text"), title.alias("clause_title"))).select("p_partkey")
+
+
 CLAUSES = f"""rows AS ({i.STYLED_SQL}), nthd AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS nth FROM rows),
 heads AS (SELECT *, coalesce((SELECT min(n.nth) FROM nthd AS n WHERE n.head AND n.doc = h.doc AND n.nth > h.nth AND n.level <= h.level), 1000000000) AS closed FROM nthd AS h WHERE head),
 crumbs AS (SELECT h.doc, h.nth, h.clause_id, h.title, h.level, coalesce(string_agg(a.clause_id || ' ' || a.title, ' > ' ORDER BY a.nth), '') AS breadcrumb
@@ -344,7 +427,18 @@ def level_skips(spark, sf_dir):
     return chunking.level_skips(nested_chunks(spark, sf_dir))
 
 
-@query()
+#: The stack of a document as a list of structs; clauses of no unit never come in.
+MERGED = f"""WITH RECURSIVE {CLAUSES},
+sizes AS (SELECT c.doc, c.nth, level, len(regexp_extract_all(body, '[^ \\t\\n\\x0B\\f\\r]+')) AS tokens, row_number() OVER (PARTITION BY c.doc ORDER BY c.nth) AS i
+ FROM crumbs AS c JOIN bodies AS b ON b.doc = c.doc AND b.nth = c.nth),
+fold AS (SELECT doc, i, nth, nth AS into_, [{{'lv': level, 'tok': tokens, 'at': nth}}] AS stack FROM sizes WHERE i = 1 UNION ALL
+ SELECT doc, i, nth, CASE WHEN fits THEN open[-1].at ELSE nth END, CASE WHEN fits THEN list_concat(open[:-2], [{{'lv': open[-1].lv, 'tok': open[-1].tok + tokens, 'at': open[-1].at}}])
+  ELSE list_append(open, {{'lv': level, 'tok': tokens, 'at': nth}}) END FROM (
+  SELECT *, len(open) > 0 AND tokens < 80 AND coalesce(open[-1].tok, 0) + tokens <= 1000 AS fits FROM (
+   SELECT s.*, list_filter(f.stack, lambda x: x.lv < s.level) AS open FROM fold AS f JOIN sizes AS s ON s.doc = f.doc AND s.i = f.i + 1) AS o) AS t)"""
+
+
+@query(f"{MERGED} SELECT doc, CAST(nth AS INTEGER) AS \"order\", CAST(into_ AS INTEGER) AS \"into\" FROM fold")
 def merged_up(spark, sf_dir):
     rows = tree.keep_useful(tree.clauses(i.styled_rows(spark, sf_dir)))
     return chunking.merge_up(chunking.with_units(rows))

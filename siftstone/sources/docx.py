@@ -23,6 +23,26 @@ def paragraph_text(node) -> str:
     return "".join(out)
 
 
+def table_cells(table) -> list[list[str]]:
+    """The texts of a table row by row. A cell over several columns stands once; one that goes on from the row above
+    repeats its text."""
+    rows, above = [], {}
+    for row in table.findall(f"{W}tr"):
+        before = row.find(f"{W}trPr/{W}gridBefore")
+        at, own = int(before.get(f"{W}val", 0)) if before is not None else 0, []
+        for cell in row.findall(f"{W}tc"):
+            span, merge = cell.find(f"{W}tcPr/{W}gridSpan"), cell.find(f"{W}tcPr/{W}vMerge")
+            text = "\n".join(paragraph_text(p) for p in cell.findall(f"{W}p"))
+            if merge is not None and merge.get(f"{W}val") != "restart":
+                text = above.get(at, text)
+            own.append(text)
+            for _ in range(int(span.get(f"{W}val", 1)) if span is not None else 1):
+                above[at] = text
+                at += 1
+        rows.append(own)
+    return rows
+
+
 def body_rows(content: bytes):
     """(style, kind, text, cells) of the body's children, paragraphs and tables interleaved as they stand."""
     import io
@@ -44,11 +64,7 @@ def body_rows(content: bytes):
             name = names.get(style_id, style_id) or "Normal"
             yield name[0].upper() + name[1:] if name.startswith("heading") else name, "paragraph", paragraph_text(child), None
         elif child.tag == f"{W}tbl":
-            cells = [
-                ["\n".join(paragraph_text(p) for p in cell.findall(f"{W}p")) for cell in row.findall(f"{W}tc")]
-                for row in child.findall(f"{W}tr")
-            ]
-            yield None, "table", None, cells
+            yield None, "table", None, table_cells(child)
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:

@@ -157,3 +157,46 @@ def test_word_files(spark, tmp_path):
     files = spark.createDataFrame([("a.zip", archive.getvalue()), ("b.zip", b"broken")], "path string, content binary")
     found = {r.path: r for r in catalog.largest_document(files).collect()}
     assert found["a.zip"].member == "large.DOCX" and found["b.zip"].error
+
+
+def test_nesting_of_any_depth(spark):
+    texts = [f"{k}> step {k}" for k in range(1, 16)] + ["an inner remark", "15> again", "20> deeper", "Done."]
+    got = [r.ancestors for r in chunking.with_ancestors(units(spark, texts), ["doc"]).orderBy("pos").collect()]
+    assert got[14] == list(range(14)) and got[15] == list(range(15)) and got[16] == list(range(14)) and got[17] == [*range(14), 16] and got[18] == []
+
+
+def test_headings_of_any_level(spark):
+    rows = [("d", 2 * k + j, f"Heading {k}" if not j else "Normal", "paragraph", f"{k} T{k}" if not j else "x") for k in [*range(1, 8), *range(9, 16), 13] for j in (0, 1)]
+    rows = [(d, n, *r) for n, (d, _, *r) in enumerate(rows)]
+    got = tree.clauses(spark.createDataFrame(rows, "doc string, pos int, style string, kind string, text string")).orderBy("order").collect()
+    assert got[13].breadcrumb == " > ".join(f"{k} T{k}" for k in [*range(1, 8), *range(9, 15)])
+    assert got[14].breadcrumb == " > ".join(f"{k} T{k}" for k in [*range(1, 8), *range(9, 13)])
+
+
+def test_headings_with_no_break_spaces(spark):
+    rows = [("d", 0, "Heading 1", "paragraph", "5.1\xa0General"), ("d", 1, "Normal", "paragraph", "x"), ("d", 2, "Heading 8", "paragraph", "Annex\u2003A\xa0(Normative):\xa0More\xa0")]
+    got = tree.clauses(spark.createDataFrame(rows, "doc string, pos int, style string, kind string, text string")).orderBy("order").collect()
+    assert [(r.clause_id, r.clause_title, r.level) for r in got] == [("5.1", "General", 1), ("Annex A", "More", 1)]
+
+
+def test_merged_cells():
+    import xml.etree.ElementTree as ET
+
+    w = docx.W[1:-1]
+    cell = lambda text, props="": f"<w:tc><w:tcPr>{props}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+    down, on, wide = '<w:vMerge w:val="restart"/>', "<w:vMerge/>", '<w:gridSpan w:val="2"/>'
+    rows = [cell("a", down) + cell("b", wide), cell("", on) + cell("c") + cell("d", down), cell("", on) + cell("e") + cell("", on), cell("f", wide) + cell("g")]
+    table = ET.fromstring(f'<w:tbl xmlns:w="{w}">' + "".join(f"<w:tr>{r}</w:tr>" for r in rows) + "</w:tbl>")
+    assert docx.table_cells(table) == [["a", "b"], ["a", "c", "d"], ["a", "e", "d"], ["f", "g"]]
+
+
+def test_running_sums_and_samples_by_ranges(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [("ab"[r.randrange(2)], r.randrange(40), r.randrange(5)) for _ in range(500)] + [(None, 3, 2)]
+    df = spark.createDataFrame(rows, "g string, v int, c int").groupBy("g", "v").agg(F.sum("c").alias("c"))
+    for x in chunking.running_sum(df, ["v"], "c", "upto", ["g"]).collect():
+        assert x.upto == sum(c for g, v, c in rows if g == x.g and v <= x.v)
+    sample = chunking.systematic_sample(spark.range(100_003).selectExpr("(id * 7919) % 100003 as k"), ["k"], 9).orderBy("k").collect()
+    assert [(x.k, x.place) for x in sample] == [(k * 11111, k * 11111) for k in range(9)]

@@ -64,6 +64,8 @@ def test_query_references(spark):
 
 def test_small_functions(spark):
     assert one(spark, tx.one_line, q="5.1\tTitle\n here ") == "5.1 Title here"
+    assert one(spark, tx.one_line, q="\xa05.1\xa0Title\u2003here\u3000") == "5.1 Title here" and one(spark, tx.strip, q="\xa0 x y\u2009") == "x y"
+    assert tuple(one(spark, tx.query_plan, q="TS\xa038.331 and x38.331, 38.3312, a 38.332: section\xa05.2")) == (["38.331", "38.332"], ["5.2"], True)
     assert one(spark, tx.has_normative, q="It SHALL be") and not one(spark, tx.has_normative, q="marshalled mayor")
     for reply, want in {"0.7 because": 0.7, "1.8": 1.0, "-2": 0.0, "no": 0.0, "nan": 0.0, "": 0.0}.items():
         assert one(spark, tx.judge_number, q=reply) == want
@@ -75,7 +77,7 @@ def test_small_functions(spark):
     rows = spark.createDataFrame([([["a", "b|c"], ["", " "], ["x\ny"]],), ([],), ([[""]],)], "r array<array<string>>")
     got = [r.x for r in rows.select(tx.markdown_table(F.col("r")).alias("x")).collect()]
     assert got == ["| a | b\\|c |\n| --- | --- |\n| x<br>y |  |", "", ""]
-    assert "[2] c2\nSection: s\nTitle: t\nbody" in one(
+    assert "QUESTION: why?\n\nPASSAGES:\n\n[1] c1\n    section: s\n    title:   t\nbody\n\n[2] c2\n    section: s\n    title:   t\nbody" == one(
         spark, lambda q: tx.prompt(q, F.array(*(F.struct(F.lit(c).alias("citation"), F.lit("s").alias("breadcrumb"), F.lit("t").alias("clause_title"), F.lit("body").alias("text")) for c in ("c1", "c2")))), q="why?"
     )
 
