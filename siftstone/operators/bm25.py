@@ -12,6 +12,9 @@ from siftstone.functions.text import tokenize
 # Fixed values of the scoring formula.
 K1 = 1.5
 B = 0.75
+#: Terms of questions that are broadcast at most, and terms that are also written into the scan of an index.
+BROADCAST_TERMS = 100_000
+SCANNED_TERMS = 500
 
 
 @dataclass
@@ -23,8 +26,15 @@ class SparseIndex:
     totals: DataFrame
 
     def save(self, path: str) -> None:
-        for name in ("postings", "terms", "totals"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        """Tables sorted by term over ranges of (term, chunk_id): a search reads the row groups of its terms, and a term
+        of many chunks lies in several files. Statistics come from the postings as written."""
+        spark = self.postings.sparkSession
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+        rows = self.postings.repartitionByRange(n, "term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+        rows.write.mode("overwrite").parquet(f"{path}/postings")
+        terms = term_stats(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/totals"))
+        terms.repartitionByRange(n, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
 
     @classmethod
     def load(cls, spark, path: str) -> SparseIndex:
@@ -67,11 +77,21 @@ def query_terms(questions: DataFrame, qid: str = "qid", question: str = "questio
 
 
 def scores(index: SparseIndex, terms: DataFrame) -> DataFrame:
-    """(qid, chunk_id, score) for chunks that share a term; rounded to 6 places so that ties are ties."""
-    asked = terms.join(index.terms, "term")
+    """(qid, chunk_id, score) for chunks that share a term; rounded to 6 places so that ties are ties.
+
+    Only what questions ask for is shuffled: their terms go to the index, as a broadcast up to a checked size.
+    """
+    postings, known = index.postings, index.terms
+    asked = terms.select("term").distinct().limit(SCANNED_TERMS + 1).collect()
+    if len(asked) <= SCANNED_TERMS:
+        named = F.col("term").isin(*(r.term for r in asked)) if asked else F.lit(False)
+        postings, known = postings.where(named), known.where(named)
+    few = len(asked) <= SCANNED_TERMS or terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    sent = F.broadcast if few else lambda df: df
+    weighted = known.join(sent(terms), "term")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return (
-        index.postings.join(asked, "term")
+        postings.join(sent(weighted), "term")
         .crossJoin(F.broadcast(index.totals.select("avgdl")))
         .groupBy("qid", "chunk_id")
         .agg(F.round(F.sum(F.col("qtf") * F.col("idf") * weight), 6).alias("score"))

@@ -10,6 +10,7 @@ from siftstone.operators import answers, bm25, chunking, evaluate, fusion, score
 from siftstone.plans import ask
 from siftstone.plans import inputs as i
 from siftstone.plans.retrieve import Retriever
+from siftstone.plans.served import served_index
 from siftstone.sources import catalog
 
 QUERIES: dict = {}
@@ -150,9 +151,21 @@ def term_idf(spark, sf_dir):
     return bm25.build_index(i.corpus(spark, sf_dir)).terms.withColumn("idf", F.round("idf", 9))
 
 
+def served(spark, sf_dir):
+    return served_index(i.corpus(spark, sf_dir))
+
+
+@query(f"WITH {INDEX} SELECT (SELECT count(*) FROM postings) AS n_postings, (SELECT CAST(sum(tf) AS BIGINT) FROM postings) AS n_tokens, (SELECT count(*) FROM terms) AS n_terms, n AS n_chunks, round(avgdl, 6) AS avgdl FROM totals")
+def stored_index(spark, sf_dir):
+    """What the stored index holds; builds it where there is none yet."""
+    index = served(spark, sf_dir)
+    held = index.postings.agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens")).crossJoin(index.terms.agg(F.count("*").alias("n_terms")))
+    return held.crossJoin(index.totals.select(F.col("n").alias("n_chunks"), F.round("avgdl", 6).alias("avgdl")))
+
+
 @query(f"WITH {bm25_sql('benchmark', k=10)} SELECT qid, rank, chunk_id, score FROM sparse")
 def bm25_topk(spark, sf_dir):
-    found = bm25.search(bm25.build_index(i.corpus(spark, sf_dir)), i.questions(spark, sf_dir), 10)
+    found = bm25.search(served(spark, sf_dir), i.questions(spark, sf_dir), 10)
     return found.select("qid", "rank", "chunk_id", "score")
 
 
@@ -162,7 +175,7 @@ TWICE = "(SELECT item_id, text || ' ' || text AS text FROM benchmark) AS twice"
 @query(f"WITH {bm25_sql(TWICE, k=5)} SELECT qid, rank, chunk_id, score FROM sparse")
 def bm25_query_multiplicity(spark, sf_dir):
     asked = i.questions(spark, sf_dir).withColumn("question", F.concat_ws(" ", "question", "question"))
-    return bm25.search(bm25.build_index(i.corpus(spark, sf_dir)), asked, 5).select("qid", "rank", "chunk_id", "score")
+    return bm25.search(served(spark, sf_dir), asked, 5).select("qid", "rank", "chunk_id", "score")
 
 
 # Vectors
@@ -203,7 +216,7 @@ top20 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY
 
 @query(f"WITH {bm25_sql('benchmark')}, {DENSE.format('', 30)}, {FUSED} SELECT qid, rank, chunk_id, rrf_score FROM top20")
 def rrf_fused_top20(spark, sf_dir):
-    sparse = bm25.search(bm25.build_index(i.corpus(spark, sf_dir)), i.questions(spark, sf_dir))
+    sparse = bm25.search(served(spark, sf_dir), i.questions(spark, sf_dir))
     fused = fusion.rrf(dense(spark, sf_dir, fusion.DENSE_TOP_K), sparse)
     return fusion.fused_top(fused).select("qid", "rank", "chunk_id", "rrf_score")
 
@@ -222,8 +235,14 @@ def pinpoint_lookup(spark, sf_dir):
 
 
 LOOKUP = f"({i.LOOKUP_QUESTIONS_SQL}) AS lookups"
-FUNNEL = f"""WITH {bm25_sql(LOOKUP, 'question', 'qid')}, {PINS},
-top20 AS (SELECT * FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY 1.0::DOUBLE / (60 + rank) DESC, rank) AS rank FROM sparse) AS r WHERE rank <= 20),
+ALONE = "top20 AS (SELECT * FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY 1.0::DOUBLE / (60 + rank) DESC, rank) AS rank FROM sparse) AS r WHERE rank <= 20)"
+HYBRID = f"""vecs AS (SELECT vec_id AS chunk_id, embedding, spec FROM embeddings JOIN chunks ON chunk_id = vec_id),
+pairs AS (SELECT qid, chunk_id, list_dot_product(e.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM plans JOIN embeddings AS e ON e.vec_id = qid * 100, vecs AS v WHERE len(specs) = 0 OR list_contains(specs, spec)),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM pairs) AS r WHERE rank <= 30), {FUSED}"""
+
+
+def funnel_sql(top20: str) -> str:
+    return f"""WITH {bm25_sql(LOOKUP, 'question', 'qid')}, {PINS}, {top20},
 cand AS (SELECT qid, chunk_id, pin_pos, CAST(NULL AS BIGINT) AS rank FROM pins UNION ALL SELECT qid, chunk_id, NULL, rank FROM top20 WHERE NOT EXISTS (SELECT 1 FROM pins WHERE pins.qid = top20.qid AND pins.chunk_id = top20.chunk_id)),
 qsize AS (SELECT qid, count(DISTINCT term) AS size FROM asked GROUP BY qid),
 both_have AS (SELECT c.qid, c.chunk_id, count(*) AS hit FROM cand AS c JOIN asked USING (qid) JOIN postings AS p ON p.term = asked.term AND p.doc_id = c.chunk_id GROUP BY 1, 2),
@@ -231,10 +250,11 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p
  FROM (SELECT cand.*, coalesce(CAST(hit AS DOUBLE) / size, 0) AS rerank_score FROM cand LEFT JOIN both_have USING (qid, chunk_id) LEFT JOIN qsize USING (qid)) AS s) AS o WHERE position <= 6)"""
 
 
+FUNNEL = funnel_sql(ALONE)
+
+
 def funnel(spark, sf_dir, **flags):
-    chunks = i.spec_chunks(spark, sf_dir)
-    index = bm25.build_index(chunks, text="text")
-    return Retriever(chunks, index, **flags).retrieve(i.lookup_questions(spark, sf_dir))
+    return Retriever(i.spec_chunks(spark, sf_dir), served(spark, sf_dir), **flags).retrieve(i.lookup_questions(spark, sf_dir))
 
 
 @query(f"{FUNNEL} SELECT qid, position, chunk_id, round(rerank_score, 9) AS rerank_score, pin_pos IS NOT NULL AS pinned FROM hits")
@@ -243,6 +263,16 @@ def funnel_hits(spark, sf_dir):
     return hits.select("qid", "position", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), F.col("pin_pos").isNotNull().alias("pinned"))
 
 
+@query(f"{funnel_sql(HYBRID)} SELECT qid, position, chunk_id, round(rerank_score, 9) AS rerank_score, pin_pos IS NOT NULL AS pinned FROM hits")
+def hybrid_hits(spark, sf_dir):
+    """Both arms: every question by its terms, those with a vector (ids divisible by 100) also by that."""
+    chunks = i.spec_chunks(spark, sf_dir)
+    vecs = i.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(chunks.select("chunk_id", "spec"), "chunk_id")
+    asked = i.lookup_questions(spark, sf_dir).join(i.question_vectors(spark, sf_dir).select("qid", "embedding"), "qid", "left")
+    hits = Retriever(chunks, served(spark, sf_dir), dense=vecs).retrieve(asked)[1]
+    return hits.select("qid", "position", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), F.col("pin_pos").isNotNull().alias("pinned"))
+
+
 @query(f"""{FUNNEL}, best AS (SELECT qid, max(rerank_score) AS top_score, min_by(rerank_score, position) AS first_score, count(*) AS n_hits FROM hits GROUP BY qid)
 SELECT plans.qid, round(top_score, 9) AS top_score, round(first_score, 9) AS first_score, coalesce(n_hits, 0) AS n_hits,
  n_hits IS NULL OR (top_score < 0.9 AND len(clauses) = 0) AS refused FROM plans LEFT JOIN best USING (qid)""")
@@ -254,8 +284,20 @@ def gate_decision(spark, sf_dir):
 @query(f"""{FUNNEL}, best AS (SELECT qid, max(rerank_score) AS top_score FROM hits GROUP BY qid), lens_q AS (SELECT qid, length(question) AS n FROM plans)
 SELECT plans.qid, CASE WHEN top_score IS NULL OR (top_score < 0.9 AND len(clauses) = 0) THEN 'gate' ELSE 'answered' END AS stage FROM plans LEFT JOIN best USING (qid) JOIN lens_q USING (qid) WHERE n BETWEEN 3 AND 2000""")
 def ask_stages(spark, sf_dir):
-    chunks = i.spec_chunks(spark, sf_dir)
-    return ask.ask(Retriever(chunks, bm25.build_index(chunks, text="text")), i.lookup_questions(spark, sf_dir)).select("qid", "stage")
+    return ask.ask(Retriever(i.spec_chunks(spark, sf_dir), served(spark, sf_dir)), i.lookup_questions(spark, sf_dir)).select("qid", "stage")
+
+
+@query(f"""{FUNNEL}, best AS (SELECT qid, max(rerank_score) AS top_score FROM hits GROUP BY qid)
+SELECT plans.qid, CASE WHEN top_score IS NULL OR (top_score < 0.9 AND len(clauses) = 0) THEN 'gate' WHEN qid % 5 IN (1, 3, 4) THEN 'generation' WHEN qid % 5 = 2 THEN 'verification' ELSE 'answered' END AS stage,
+ CASE WHEN top_score IS NULL OR (top_score < 0.9 AND len(clauses) = 0) THEN NULL WHEN qid % 5 = 2 THEN 'refused' WHEN qid % 5 = 0 THEN 'grounded' END AS label
+ FROM plans LEFT JOIN best USING (qid) WHERE length(question) BETWEEN 3 AND 2000""")
+def ask_all_stages(spark, sf_dir):
+    """Replies by arithmetic: the first passage, no answer, an unsupported claim, a claim without a valid passage, no JSON."""
+    first, q = F.col("hits")[0]["text"], F.col("qid")
+    made = lambda text, passage: F.to_json(F.struct(F.lit(True).alias("answerable"), text.alias("answer"), F.array(F.struct(text.alias("text"), F.array(F.lit(passage)).alias("passages"), F.lit("none").alias("normative"))).alias("claims"), F.lit("").alias("missing")))
+    reply = F.when(q % 5 == 0, made(first, 1)).when(q % 5 == 1, '{"answerable": false, "answer": "", "claims": [], "missing": "all"}').when(q % 5 == 2, made(F.lit("qqqq zzzz"), 1)).when(q % 5 == 3, made(first, 9)).otherwise("no json")
+    found = ask.ask(Retriever(i.spec_chunks(spark, sf_dir), served(spark, sf_dir)), i.lookup_questions(spark, sf_dir), reply=reply)
+    return found.select("qid", "stage", "label")
 
 
 # Prompts, judges and replies

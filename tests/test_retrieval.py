@@ -112,3 +112,33 @@ def test_sweep(spark):
     assert evaluate.sweep(odd).where("threshold = 0.8965").first().correct_refusal_rate == 1.0
     assert evaluate.balanced(spark.createDataFrame([(i, i % 3 == 0) for i in range(20)], "qid int, answerable boolean"), 6).count() == 6
     assert "| a |" in evaluate.markdown([{"a": 1.0}], ["a"])
+
+
+def test_stored_index_follows_its_table(spark, tmp_path):
+    from siftstone.plans import served
+
+    at = str(tmp_path / "chunks.parquet")
+    make = lambda rows: spark.createDataFrame(rows, "chunk_id long, embed_text string").write.mode("overwrite").parquet(at)
+    questions = spark.createDataFrame([(1, "x x"), (2, "unknown"), (3, None)], "qid long, question string")
+    make([(1, "x x y"), (2, "x z"), (3, "z"), (4, None)])
+    first = served.served_index(spark.read.parquet(at))
+    fresh = bm25.build_index(spark.read.parquet(at))
+    key = lambda index: sorted(map(tuple, bm25.search(index, questions).collect()))
+    assert key(first) == key(fresh) != []
+    again = served.served_index(spark.read.parquet(at))
+    assert sorted(again.postings.inputFiles()) == sorted(first.postings.inputFiles())
+    make([(1, "y"), (2, "x")])
+    changed = served.served_index(spark.read.parquet(at))
+    assert sorted(changed.postings.inputFiles()) != sorted(first.postings.inputFiles())
+    assert [r[:2] for r in key(changed)] == [(1, 2)]
+
+
+def test_many_question_terms_give_the_same(spark, monkeypatch):
+    chunks = spark.createDataFrame([(i, f"a{i} b{i % 3} c") for i in range(40)], "chunk_id long, embed_text string")
+    questions = spark.createDataFrame([(i, f"b{i} a{i} c") for i in range(3)], "qid long, question string")
+    index = bm25.build_index(chunks)
+    want = sorted(map(tuple, bm25.search(index, questions).collect()))
+    for scanned, sent in ((2, 100), (2, 1)):
+        monkeypatch.setattr(bm25, "SCANNED_TERMS", scanned)
+        monkeypatch.setattr(bm25, "BROADCAST_TERMS", sent)
+        assert sorted(map(tuple, bm25.search(index, questions).collect())) == want
