@@ -77,7 +77,8 @@ def query_terms(questions: DataFrame, qid: str = "qid", question: str = "questio
 
 
 def scores(index: SparseIndex, terms: DataFrame) -> DataFrame:
-    """(qid, chunk_id, score) for chunks that share a term; rounded to 6 places so that ties are ties.
+    """(qid, chunk_id, score, matched) for chunks that share a term; rounded to 6 places so that ties are ties.
+    matched counts the question's distinct terms that the chunk has.
 
     Only what questions ask for is shuffled: their terms go to the index, as a broadcast up to a checked size.
     """
@@ -94,7 +95,7 @@ def scores(index: SparseIndex, terms: DataFrame) -> DataFrame:
         postings.join(sent(weighted), "term")
         .crossJoin(F.broadcast(index.totals.select("avgdl")))
         .groupBy("qid", "chunk_id")
-        .agg(F.round(F.sum(F.col("qtf") * F.col("idf") * weight), 6).alias("score"))
+        .agg(F.round(F.sum(F.col("qtf") * F.col("idf") * weight), 6).alias("score"), F.count("*").alias("matched"))
     )
 
 

@@ -254,7 +254,7 @@ FUNNEL = funnel_sql(ALONE)
 
 
 def funnel(spark, sf_dir, **flags):
-    return Retriever(i.spec_chunks(spark, sf_dir), served(spark, sf_dir), **flags).retrieve(i.lookup_questions(spark, sf_dir))
+    return Retriever(i.spec_chunks(spark, sf_dir), served(spark, sf_dir), index_of_text=True, **flags).retrieve(i.lookup_questions(spark, sf_dir))
 
 
 @query(f"{FUNNEL} SELECT qid, position, chunk_id, round(rerank_score, 9) AS rerank_score, pin_pos IS NOT NULL AS pinned FROM hits")
@@ -269,7 +269,7 @@ def hybrid_hits(spark, sf_dir):
     chunks = i.spec_chunks(spark, sf_dir)
     vecs = i.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(chunks.select("chunk_id", "spec"), "chunk_id")
     asked = i.lookup_questions(spark, sf_dir).join(i.question_vectors(spark, sf_dir).select("qid", "embedding"), "qid", "left")
-    hits = Retriever(chunks, served(spark, sf_dir), dense=vecs).retrieve(asked)[1]
+    hits = Retriever(chunks, served(spark, sf_dir), dense=vecs, index_of_text=True).retrieve(asked)[1]
     return hits.select("qid", "position", "chunk_id", F.round("rerank_score", 9).alias("rerank_score"), F.col("pin_pos").isNotNull().alias("pinned"))
 
 
@@ -284,7 +284,7 @@ def gate_decision(spark, sf_dir):
 @query(f"""{FUNNEL}, best AS (SELECT qid, max(rerank_score) AS top_score FROM hits GROUP BY qid), lens_q AS (SELECT qid, length(question) AS n FROM plans)
 SELECT plans.qid, CASE WHEN top_score IS NULL OR (top_score < 0.9 AND len(clauses) = 0) THEN 'gate' ELSE 'answered' END AS stage FROM plans LEFT JOIN best USING (qid) JOIN lens_q USING (qid) WHERE n BETWEEN 3 AND 2000""")
 def ask_stages(spark, sf_dir):
-    return ask.ask(Retriever(i.spec_chunks(spark, sf_dir), served(spark, sf_dir)), i.lookup_questions(spark, sf_dir)).select("qid", "stage")
+    return ask.ask(Retriever(i.spec_chunks(spark, sf_dir), served(spark, sf_dir), index_of_text=True), i.lookup_questions(spark, sf_dir)).select("qid", "stage")
 
 
 @query(f"""{FUNNEL}, best AS (SELECT qid, max(rerank_score) AS top_score FROM hits GROUP BY qid)
@@ -296,7 +296,7 @@ def ask_all_stages(spark, sf_dir):
     first, q = F.col("hits")[0]["text"], F.col("qid")
     made = lambda text, passage: F.to_json(F.struct(F.lit(True).alias("answerable"), text.alias("answer"), F.array(F.struct(text.alias("text"), F.array(F.lit(passage)).alias("passages"), F.lit("none").alias("normative"))).alias("claims"), F.lit("").alias("missing")))
     reply = F.when(q % 5 == 0, made(first, 1)).when(q % 5 == 1, '{"answerable": false, "answer": "", "claims": [], "missing": "all"}').when(q % 5 == 2, made(F.lit("qqqq zzzz"), 1)).when(q % 5 == 3, made(first, 9)).otherwise("no json")
-    found = ask.ask(Retriever(i.spec_chunks(spark, sf_dir), served(spark, sf_dir)), i.lookup_questions(spark, sf_dir), reply=reply)
+    found = ask.ask(Retriever(i.spec_chunks(spark, sf_dir), served(spark, sf_dir), index_of_text=True), i.lookup_questions(spark, sf_dir), reply=reply)
     return found.select("qid", "stage", "label")
 
 
