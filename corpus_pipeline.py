@@ -6,7 +6,7 @@ document. Intermediate tables are deleted as soon as the next stage is written.
 
 Defined results: a document without text fails the rules; one that loses all its lines stays, empty. Of a
 near-duplicate group the document with the smallest doc_id stays, of several under that id the one whose text has the
-smallest md5, once; different texts under one doc_id are documents of their own here, and documents without a doc_id
+smallest hash, once; different texts under one doc_id are documents of their own here, and documents without a doc_id
 come after all others.
 """
 
@@ -36,11 +36,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("of"))
-    keyed = docs.select(key.alias("__key"), F.struct("*").alias("__row"), F.col("text").alias("__text"))
-    first = near_duplicates(keyed.select("__key", "__text"), "__key", "__text").where("__key = component_id").select("__key").distinct()
-    one = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64("__row")))
-    kept = keyed.drop("__text").join(first, "__key", "left_semi").withColumn("__one", one).where("__one = 1")
+    of = [F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))).alias(f"__of{seed}") for seed in (1, 2)]
+    keys = F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).alias("__id"), *of
+    keyed = docs.select(*keys, F.struct("*").alias("__row"), F.col("text").alias("__text"))
+    names = keyed.columns[:4]
+    found = near_duplicates(keyed.select(F.struct(*names).alias("__key"), "__text"), "__key", "__text")
+    first = found.where("__key = component_id").select("__key.*").distinct()
+    # Rows are dealt once, by the plain columns of the key, for the join and for the choice among equal rows.
+    one = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("__row")))
+    kept = keyed.drop("__text").join(first, names, "left_semi").withColumn("__one", one).where("__one = 1")
     return kept.select("__row.*")
 
 
